@@ -57,6 +57,8 @@ def present(df: DataFrame) -> DataFrame:
         kind = field.dataType.simpleString()
         if kind == "date":
             column = F.date_format(column, "yyyy-MM-dd")
+        elif kind.startswith("decimal"):
+            column = column.cast("double")
         elif kind == "double":
             column = F.floor(column * 1e6 + 0.5) / 1e6
         shown.append(column.alias(field.name))

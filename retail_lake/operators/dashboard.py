@@ -13,7 +13,7 @@ def totals(daily: DataFrame, month: int | None = None) -> DataFrame:
         daily = daily.where(F.col("month") == month)
     summed = daily.groupingSets([[], ["product_category"]], "product_category").agg(
         F.grouping("product_category").alias("_all"),
-        F.sum("daily_revenue").alias("total_revenue"),
+        F.round(F.sum("daily_revenue"), 2).alias("total_revenue"),
         F.avg("daily_revenue").alias("avg_daily_revenue"),
         F.count(F.lit(1)).alias("days"),
     )
@@ -40,8 +40,8 @@ def month_growth(monthly: DataFrame) -> DataFrame:
     return revenue.withColumn("previous_revenue", before).select(
         "year_month",
         "product_category",
-        "monthly_revenue",
-        "previous_revenue",
+        F.round("monthly_revenue", 2).alias("monthly_revenue"),
+        F.round("previous_revenue", 2).alias("previous_revenue"),
         (safe_divide(F.col("monthly_revenue") - F.col("previous_revenue"), F.col("previous_revenue")) * 100).alias(
             "growth_percent"
         ),
@@ -59,7 +59,7 @@ def shares(monthly: DataFrame, segments: DataFrame) -> DataFrame:
     whole = F.sum("amount").over(Window.partitionBy("measure", "within"))
     return by_category.unionByName(by_gender).select(
         "measure", "within", "member",
-        "amount",
+        F.round("amount", 2).alias("amount"),
         (safe_divide(F.col("amount"), whole) * 100).alias("share_percent"),
     )
 
@@ -67,7 +67,7 @@ def shares(monthly: DataFrame, segments: DataFrame) -> DataFrame:
 def monthly_cards(monthly: DataFrame) -> DataFrame:
     """Total revenue and average transaction per category: the plain mean of the monthly averages beside the weighted one."""
     return monthly.groupBy("product_category").agg(
-        F.sum("monthly_revenue").alias("total_revenue"),
+        F.round(F.sum("monthly_revenue"), 2).alias("total_revenue"),
         F.avg("avg_transaction_value").alias("avg_transaction_unweighted"),
         (F.sum("monthly_revenue") / F.sum("monthly_transactions")).alias("avg_transaction"),
     )
@@ -82,7 +82,7 @@ def segment_cuts(segments: DataFrame) -> DataFrame:
     keys = ["product_category", "gender", "age_group"]
     sets = [["age_group"], ["product_category", "age_group"], ["product_category", "gender"]]
     cut = segments.groupingSets(sets, *keys).agg(
-        F.sum("total_revenue").alias("total_revenue"),
+        F.round(F.sum("total_revenue"), 2).alias("total_revenue"),
         F.sum("transaction_count").alias("transaction_count"),
         F.avg("avg_spend").alias("avg_spend"),
         (F.sum("total_revenue") / F.sum("transaction_count")).alias("avg_spend_weighted"),

@@ -35,7 +35,7 @@ TX = f"""{SALES}, tx AS (
          CAST(18 + o_custkey % 47 AS INTEGER) AS age,
          {CATEGORY} AS product_category,
          CAST(l_quantity AS INTEGER) AS quantity,
-         round(l_extendedprice / l_quantity, 2) AS price_per_unit,
+         floor(l_extendedprice * 100 / l_quantity) / 100 AS price_per_unit,
          CAST(l_extendedprice AS DECIMAL(18, 2)) AS total_amount
   FROM sales)"""
 
@@ -51,7 +51,7 @@ RAW = f"""{SALES}, raw AS (
          CASE WHEN l_partkey % 71 = 1 THEN 'Furniture' WHEN l_partkey % 67 <> 1 THEN {CATEGORY} END AS "Product Category",
          CASE WHEN l_orderkey % 61 = 1 THEN '0' WHEN l_orderkey % 59 = 1 THEN '-2'
               ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS "Quantity",
-         round(l_extendedprice / l_quantity, 2) AS "Price per Unit",
+         floor(l_extendedprice * 100 / l_quantity) / 100 AS "Price per Unit",
          CASE WHEN l_orderkey % 53 = 1 THEN '-5'
               WHEN l_orderkey % 47 <> 1 THEN CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS VARCHAR) END AS "Total Amount"
   FROM sales)"""
@@ -364,11 +364,11 @@ def statements() -> dict[str, str]:
          sum(monthly_revenue) AS monthly_revenue
   FROM monthly GROUP BY GROUPING SETS ((year_month), (year_month, product_category))),
 p AS (SELECT *, lag(monthly_revenue) OVER (PARTITION BY product_category ORDER BY year_month) AS previous_revenue FROM m)
-SELECT year_month, product_category, {r('monthly_revenue', 'previous_revenue')},
+SELECT year_month, product_category, {rx('monthly_revenue', 'monthly_revenue', 2)}, {rx('previous_revenue', 'previous_revenue', 2)},
        {rx('coalesce((monthly_revenue - previous_revenue) / nullif(previous_revenue, 0), 0) * 100', 'growth_percent')} FROM p"""
     totals = """SELECT CASE WHEN grouping(product_category) = 1 THEN '(all)' ELSE product_category END AS product_category,
        {sums}, count(*) AS days FROM gold_daily {where} GROUP BY GROUPING SETS ((), (product_category))"""
-    total_columns = f"{rx('sum(daily_revenue)', 'total_revenue')}, {rx('avg(daily_revenue)', 'avg_daily_revenue')}"
+    total_columns = f"{rx('sum(daily_revenue)', 'total_revenue', 2)}, {rx('avg(daily_revenue)', 'avg_daily_revenue')}"
     breakdown = """SELECT 'category' AS dimension, product_category AS member, count(*) AS anomalies FROM scored WHERE anomaly_flag = 1 GROUP BY 2
 UNION ALL SELECT 'month', CAST("Month" AS VARCHAR), count(*) FROM scored WHERE anomaly_flag = 1 GROUP BY 2
 UNION ALL SELECT 'weekend', CASE WHEN "IsWeekend" = 1 THEN 'Weekend' ELSE 'Weekday' END, count(*) FROM scored WHERE anomaly_flag = 1 GROUP BY 2"""
@@ -405,7 +405,7 @@ FROM typed GROUP BY 1, 2""",
 FROM documents GROUP BY source""",
         # Projections, filters and quality
         "silver_clean": f"""WITH {SILVER} SELECT transaction_id, {day('date')}, customer_id, gender, age, product_category, quantity,
-       {r('price_per_unit')}, CAST(total_amount AS DECIMAL(18, 2)) AS total_amount, category_code, year, month, day, day_of_week,
+       {r('price_per_unit')}, CAST(total_amount AS DOUBLE) AS total_amount, category_code, year, month, day, day_of_week,
        week_of_year, quarter, is_weekend, is_month_end, {r('total_amount_calc')} FROM silver""",
         "drop_counts": f"""WITH {TYPED}, judged AS (
   SELECT date IS NULL OR total_amount IS NULL OR product_category IS NULL OR quantity IS NULL AS lacking,
@@ -464,12 +464,12 @@ UNION ALL SELECT 'anomaly_records', n FROM (WITH {FEAT} SELECT count(*) AS n FRO
   FROM silver GROUP BY product_category
   UNION ALL SELECT 'transactions by gender', product_category, gender, CAST(count(transaction_id) AS DOUBLE)
   FROM silver GROUP BY product_category, gender)
-SELECT measure, within, member, {r('amount')},
+SELECT measure, within, member, {rx('amount', 'amount', 2)},
        {rx('amount / sum(amount) OVER (PARTITION BY measure, within) * 100', 'share_percent')} FROM a""",
-        "dash_segments": f"""WITH {SILVER}, {GOLD_SEGMENTS} SELECT {cut_keys}, {rx('sum(total_revenue)', 'total_revenue')},
+        "dash_segments": f"""WITH {SILVER}, {GOLD_SEGMENTS} SELECT {cut_keys}, {rx('sum(total_revenue)', 'total_revenue', 2)},
        CAST(sum(transaction_count) AS BIGINT) AS transaction_count, {rx('avg(avg_spend)', 'avg_spend')},
        {rx('sum(total_revenue) / sum(transaction_count)', 'avg_spend_weighted')} FROM segments GROUP BY {sets}""",
-        "dash_cards": f"""WITH {SILVER}, {GOLD_MONTHLY} SELECT product_category, {rx('sum(monthly_revenue)', 'total_revenue')},
+        "dash_cards": f"""WITH {SILVER}, {GOLD_MONTHLY} SELECT product_category, {rx('sum(monthly_revenue)', 'total_revenue', 2)},
        {rx('avg(avg_transaction_value)', 'avg_transaction_unweighted')},
        {rx('sum(monthly_revenue) / sum(monthly_transactions)', 'avg_transaction')} FROM monthly GROUP BY 1""",
         # Daily series

@@ -28,7 +28,8 @@ def _category():
 
 
 def _price():
-    return F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    """Price per unit in whole cents."""
+    return F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")) / 100
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
