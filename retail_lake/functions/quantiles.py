@@ -4,42 +4,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from retail_lake.staging import stage
 
-def exact_quantiles(df: DataFrame, column: str, probs: list[float], buckets: int = 200) -> DataFrame:
+
+def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> DataFrame:
     """One row with columns ``q0..qn``: the exact quantiles of ``column``.
 
     The built-in exact ``percentile`` keeps every distinct value of a group in one task.
-    Here equal values are counted first, the distinct values are split into ranges of
-    about equal size, and only the ranges holding a wanted rank are ordered.  No step
-    sees more than one range, however large the column or a single repeated value is.
+    Here equal values are counted first and the distinct values are sorted into ranges,
+    one per partition.  The range sizes tell which ranges hold a wanted rank, and only
+    those are ordered again.  No task sees more than one range, however large the column
+    or a single repeated value is, and the input is read once.
     """
     counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    cuts = counted.agg(
-        F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("cuts")
-    ).scalar()
-    total = counted.agg(F.sum("n")).scalar()
-    ranged = counted.withColumn("cuts", cuts).select(
-        "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("range_no")
+    ordered = stage(counted.orderBy("v").withColumn("range_no", F.spark_partition_id()))
+
+    # One row per partition, so these windows are small.
+    everything = Window.partitionBy(F.lit(1))
+    earlier = everything.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (
+        ordered.groupBy("range_no")
+        .agg(F.sum("n").alias("range_n"))
+        .withColumn("before", F.coalesce(F.sum("range_n").over(earlier), F.lit(0)))
+        .withColumn("total", F.sum("range_n").over(everything))
     )
-
-    # One row per range (at most `buckets` rows), so the running total is small.
-    sizes = ranged.groupBy("range_no").agg(F.sum("n").alias("range_n"))
-    upto = Window.partitionBy(F.lit(1)).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("range_n").over(upto), F.lit(0))).withColumn("total", total)
-
-    ranks = [(p, (F.col("total") - 1) * F.lit(float(p))) for p in probs]
+    ranks = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
     wanted = F.lit(False)
-    for _, rank in ranks:
+    for rank in ranks:
         wanted = wanted | (
             (F.ceil(rank) >= F.col("before")) & (F.floor(rank) < F.col("before") + F.col("range_n"))
         )
-    sizes = sizes.where(wanted)
 
     inside = Window.partitionBy("range_no").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
-        ranged.join(sizes, "range_no")
+        ordered.join(sizes.where(wanted), "range_no")
         .withColumn("last_rank", F.col("before") + F.sum("n").over(inside) - 1)
         .withColumn("first_rank", F.col("last_rank") - F.col("n") + 1)
     )
@@ -47,12 +47,12 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], buckets: int
     def value_at(rank):
         return F.max(F.when((F.col("first_rank") <= rank) & (rank <= F.col("last_rank")), F.col("v")))
 
-    low = [value_at(F.floor(rank)).alias(f"lo{i}") for i, (_, rank) in enumerate(ranks)]
-    high = [value_at(F.ceil(rank)).alias(f"hi{i}") for i, (_, rank) in enumerate(ranks)]
+    low = [value_at(F.floor(rank)).alias(f"lo{i}") for i, rank in enumerate(ranks)]
+    high = [value_at(F.ceil(rank)).alias(f"hi{i}") for i, rank in enumerate(ranks)]
     picked = placed.agg(F.max("total").alias("total"), *low, *high)
     return picked.select(
         *[
             (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (rank - F.floor(rank))).alias(f"q{i}")
-            for i, (_, rank) in enumerate(ranks)
+            for i, rank in enumerate(ranks)
         ]
     )

@@ -119,16 +119,21 @@ def latest_actuals(features: DataFrame) -> DataFrame:
     )
 
 
+def _starting_state(latest: DataFrame) -> DataFrame:
+    """Latest values with defaults and encodings; deviations from a value not known yet are 0."""
+    return with_encodings(latest.na.fill(DEFAULTS)).withColumns(
+        {"revenue_z_score": F.lit(0.0), "pct_from_rolling_mean": F.lit(0.0)}
+    )
+
+
 def _with_day_features(state: DataFrame, day: Column) -> DataFrame:
-    """Model inputs of one future day; deviations from a value not known yet are 0."""
-    unknown = {"revenue_z_score": F.lit(0.0), "pct_from_rolling_mean": F.lit(0.0)}
-    return with_encodings(state.withColumns({"date": day, **feature_calendar(day), **unknown}))
+    return state.withColumns({"date": day, **feature_calendar(day)})
 
 
 def future_features(latest: DataFrame, days: int = MAX_DAYS) -> DataFrame:
     """Feature rows of the next days of every category, lags as last known."""
     steps = F.sequence(F.lit(1), F.lit(days))
-    ahead = latest.na.fill(DEFAULTS).withColumn("step", F.explode(steps))
+    ahead = _starting_state(latest).withColumn("step", F.explode(steps))
     return _with_day_features(ahead, F.date_add("last_date", F.col("step")))
 
 
@@ -189,7 +194,7 @@ def forecast(
         raise ValueError("lag_mode must be 'chain' or 'calendar'")
     if category is not None:
         features = features.where(F.col("product_category") == category)
-    state = latest_actuals(features).na.fill(DEFAULTS)
+    state = _starting_state(latest_actuals(features))
     carried = state.columns
     done: list[str] = []
     for step in range(1, days + 1):
@@ -210,7 +215,7 @@ def forecast(
         state = named.select(*[moved.get(c, F.col(c)).alias(c) for c in carried], *done, record.alias(f"_day{step}"))
         done.append(f"_day{step}")
 
-    known = ["product_category", "last_date", *SAME_DAY, "daily_quantity"]
+    known = [c for c in carried if c not in (*LAGS, *ROLLING, "recent")]
     long = state.select(*known, F.inline(F.array(*done))).withColumn("date", F.date_add("last_date", F.col("step")))
     return _with_anomaly(long, detector).select(
         "product_category",
@@ -226,9 +231,7 @@ def forecast(
 def _with_anomaly(long: DataFrame, detector: anomaly.Forest | None) -> DataFrame:
     if detector is None:
         return long.withColumns({"anomaly_flag": F.lit(0), "anomaly_score": F.lit(None).cast("double")})
-    rows = with_encodings(long.withColumns(feature_calendar(F.col("date")))).withColumns(
-        {"daily_revenue": F.col("predicted_revenue"), "revenue_z_score": F.lit(0.0), "pct_from_rolling_mean": F.lit(0.0)}
-    )
+    rows = long.withColumns({"daily_revenue": F.col("predicted_revenue"), **feature_calendar(F.col("date"))})
     scored = anomaly.flag(anomaly.score(rows, detector), detector.threshold)
     return scored.withColumn("anomaly_score", F.round("anomaly_score", 4))
 
