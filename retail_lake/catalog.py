@@ -667,21 +667,22 @@ def chunk_documents(spark, d):
 
 
 def _library(spark, d):
-    """Documents as knowledge entries: source as title, language as category, quality label as prior."""
-    labels = table(spark, d, "labels").select("doc_id", "quality")
+    """Documents as knowledge entries: source as title, language as category."""
     category = F.when(F.col("source") == "src0", retrieval.ANY_CATEGORY).otherwise(F.col("lang"))
-    return table(spark, d, "documents").join(labels, "doc_id", "left").select(
-        "doc_id",
-        F.col("source").alias("title"),
-        F.col("text").alias("content"),
-        category.alias("category"),
-        (F.coalesce("quality", F.lit(0)) * 0.5).alias("score"),
+    return table(spark, d, "documents").select(
+        "doc_id", F.col("source").alias("title"), F.col("text").alias("content"), category.alias("category")
     )
 
 
+def _rated_library(spark, d):
+    """The entries with a stored prior from the quality label."""
+    labels = table(spark, d, "labels").select("doc_id", (F.col("quality") * 0.5).alias("score"))
+    return _library(spark, d).join(labels, "doc_id", "left")
+
+
 @query
 def keyword_search(spark, d):
-    return retrieval.keyword_search(_library(spark, d), SEARCHES, ["doc_id"], k=10)
+    return retrieval.keyword_search(_rated_library(spark, d), SEARCHES, ["doc_id"], k=10)
 
 
 @query

@@ -81,18 +81,17 @@ def is_valid(report: DataFrame) -> DataFrame:
 
 def ingest_summary(df: DataFrame) -> DataFrame:
     """Rows per category beside the totals of the whole load; an empty load gives one row of nulls and 0."""
-    per_category = df.groupingSets([[], ["product_category"]], "product_category").agg(
-        F.grouping("product_category").alias("is_total"),
-        F.count(F.lit(1)).alias("rows"),
-        F.min("date").alias("first_date"),
-        F.max("date").alias("last_date"),
+    per_category = df.groupBy("product_category").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
     )
-    return per_category.select(
-        F.when(F.col("is_total") == 1, "(all)").otherwise(F.col("product_category")).alias("product_category"),
-        "rows",
-        "first_date",
-        "last_date",
+    # Built on the same aggregate, so its shuffle is reused and the load is read once.
+    total = per_category.agg(
+        F.lit("(all)").alias("product_category"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
     )
+    return per_category.unionByName(total)
 
 
 def silver_quality(df: DataFrame) -> DataFrame:
