@@ -6,8 +6,28 @@ from pyspark.sql import functions as F
 from retail_lake.schema import MONEY, RAW_COLUMNS
 
 
+# Columns that tell the rows of the larger tables apart.
+ROW_KEYS = {
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey"],
+    "documents": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
+    "embeddings": ["vec_id"],
+}
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Share the rows out when a scan has fewer splits than the session has cores.
+
+    A small table in one file with one row group would keep a single core busy.  A table
+    with enough splits is returned as it is, so nothing large is ever shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, ROW_KEYS[name]) if name in ROW_KEYS else df
 
 
 def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
