@@ -229,6 +229,12 @@ def sink_append_forecast(spark, d):
     return _appended(spark, rows, "daily_forecasts", keys, measures, "created_at")
 
 
+@query
+def sink_forecast_csv(spark, d):
+    path = csv_files.write_csv(_naive_week(spark, d), work_path(spark, "forecast"))
+    return csv_files.read_inferred(spark, path)
+
+
 @query
 def sink_append_anomaly(spark, d):
     measures = [F.round(F.sum("daily_revenue"), 2).alias("revenue"), F.max("anomaly_score").alias("max_score")]
@@ -579,6 +585,19 @@ def sales_context(spark, d):
     return context.sales_context(scored, scored, 1997, by="revenue_z_score")
 
 
+@query
+def sales_context_text(spark, d):
+    scored = stage(_flagged(spark, d))
+    return context.as_text(context.sales_context(scored, scored, 1997, by="revenue_z_score"))
+
+
+@query
+def forecast_context(spark, d):
+    week = _naive_week(spark, d)
+    named = week.withColumns({"step": F.date_diff("date", F.lit("2000-01-01")), "day_of_week": F.date_format("date", "EEEE")})
+    return forecast.forecast_context(named)
+
+
 # Models
 
 

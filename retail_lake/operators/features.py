@@ -43,13 +43,14 @@ def dense_grid(daily: DataFrame, categories: list[str] | None = CATEGORIES) -> D
     ``daily`` is read three times here (range, categories, values), so pass a staged frame.
     ``categories=None`` takes all that occur; a list drops the others.
     """
-    day_range = F.sequence(F.col("lo"), F.col("hi"), F.expr("interval 1 day"))
-    days = daily.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select(F.explode(day_range).alias("date"))
+    bounds = daily.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
     if categories is None:
-        seen = daily.agg(F.array_sort(F.collect_set("product_category"))).scalar()
+        series = daily.select("product_category").distinct()
     else:
-        seen = F.array(*map(F.lit, categories))
-    grid = days.select("date", F.explode(seen).alias("product_category"))
+        listed = F.explode(F.array(*map(F.lit, categories)))
+        series = daily.sparkSession.range(1).select(listed.alias("product_category"))
+    day_range = F.sequence(F.col("b.lo"), F.col("b.hi"), F.expr("interval 1 day"))
+    grid = series.withColumn("b", bounds).select("product_category", F.explode(day_range).alias("date"))
     joined = grid.join(daily.withColumn("_sold", F.lit(True)), ["date", "product_category"], "left")
     added = F.col("_sold").isNull()
     filled = [F.when(added, F.lit(0).cast(daily.schema[m].dataType)).otherwise(F.col(m)).alias(m) for m in MEASURES]

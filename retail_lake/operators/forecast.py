@@ -144,29 +144,34 @@ def check_request(days: int, category: str | None = None, categories: list[str]
         raise ValueError(f"days must lie between 1 and {MAX_DAYS}")
 
 
-def _recent_stats(n: int) -> dict[str, Column]:
-    """Mean and sample deviation of the last n values of ``recent``."""
-    part = F.slice("recent", F.greatest(F.size("recent") - n + 1, F.lit(1)), n)
-    size = F.size(part).cast("double")
-    mean = F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / size
-    squares = F.aggregate(F.transform(part, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v)
-    std = F.when(size > 1, F.sqrt(squares / (size - 1))).otherwise(F.lit(0.0))
-    return {f"rolling_mean_{n}": mean, f"rolling_std_{n}": std}
+def _sum(array: str) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, v: a + v)
 
 
-def _calendar_state() -> dict[str, Column]:
+def _with_calendar_state(state: DataFrame) -> DataFrame:
     """Lags and rolling statistics read off ``recent``, the days right before the target day."""
-    week = F.slice("recent", F.greatest(F.size("recent") - 6, F.lit(1)), 7)
+    size = F.size("recent")
     last = F.element_at("recent", -1)
-    return {
+    lags = {
         "lag_1": last,
         "lag_7": F.coalesce(F.try_element_at("recent", F.lit(-7)), last),
         "lag_14": F.coalesce(F.try_element_at("recent", F.lit(-14)), last),
-        **_recent_stats(7),
-        **_recent_stats(14),
-        "rolling_max_7": F.array_max(week),
-        "rolling_min_7": F.array_min(week),
     }
+    windows = {f"_w{n}": F.slice("recent", F.greatest(size - n + 1, F.lit(1)), n) for n in (7, 14)}
+    # One projection per layer, so that each value is computed once.
+    layered = state.withColumns({**lags, **windows}).withColumns(
+        {
+            **{f"rolling_mean_{n}": _sum(f"_w{n}") / F.size(f"_w{n}") for n in (7, 14)},
+            "rolling_max_7": F.array_max("_w7"),
+            "rolling_min_7": F.array_min("_w7"),
+        }
+    )
+    return layered.withColumns({f"rolling_std_{n}": _sample_std(f"_w{n}", f"rolling_mean_{n}") for n in (7, 14)})
+
+
+def _sample_std(array: str, mean: str) -> Column:
+    squares = F.aggregate(array, F.lit(0.0), lambda a, v: a + (v - F.col(mean)) * (v - F.col(mean)))
+    return F.when(F.size(array) > 1, F.sqrt(squares / (F.size(array) - 1))).otherwise(F.lit(0.0))
 
 
 def forecast(
@@ -199,7 +204,7 @@ def forecast(
     done: list[str] = []
     for step in range(1, days + 1):
         if lag_mode == "calendar":
-            state = state.withColumns(_calendar_state())
+            state = _with_calendar_state(state)
         day = _with_day_features(state, F.date_add("last_date", step))
         revenue = F.greatest(F.lit(0.0), F.round("prediction", 2))
         named = model.transform(day).withColumn("_revenue", revenue)

@@ -399,6 +399,7 @@ FROM tx GROUP BY gender, age""",
 FROM typed GROUP BY 1, 2""",
         "sink_append_forecast": f"""WITH {WEEK} SELECT {day('date', 'forecast_date')}, product_category, 'gbt_v1' AS model_version,
        1 AS rows, 1 AS stamped, {r('predicted_revenue')} FROM week""",
+        "sink_forecast_csv": f"WITH {WEEK} SELECT {day('date')}, product_category, {r('predicted_revenue')}, anomaly_flag FROM week",
         "sink_append_anomaly": f"""WITH {flagged()} SELECT product_category, anomaly_flag, count(*) AS rows, count(*) AS stamped,
        {rx('sum(daily_revenue)', 'revenue', 2)}, {rx('max(anomaly_score)', 'max_score')} FROM scored GROUP BY 1, 2""",
         "scan_documents": """SELECT source AS source_name, CAST(sum(length(text) + 1) AS BIGINT) AS characters
@@ -527,6 +528,15 @@ SELECT {day('date')}, product_category, {r('daily_revenue', 'abs_z')} FROM top""
        coalesce(string_agg(strftime(date, '%Y-%m-%d'), ',' ORDER BY date) FILTER (anomaly_flag = 1), '') AS anomaly_days
 FROM week GROUP BY product_category""",
         "sales_context": _context(),
+        "sales_context_text": f"""WITH lines AS ({_context()}), blocks AS (
+  SELECT section_no, '=== ' || section || ' ===' || chr(10) || string_agg(line, chr(10) ORDER BY line_key) AS block
+  FROM lines GROUP BY section_no, section)
+SELECT string_agg(block, chr(10) || chr(10) ORDER BY section_no) AS context FROM blocks""",
+        "forecast_context": f"""WITH {WEEK}, l AS (
+  SELECT *, '  ' || strftime(date, '%Y-%m-%d') || ' (' || rpad(dayname(date), 9, ' ') || '): Rs ' || format('{{:,.0f}}', predicted_revenue) AS line FROM week)
+SELECT product_category, '--- ' || product_category || ' (next ' || count(*) || ' days) ---' || chr(10) || string_agg(line, chr(10) ORDER BY date)
+       || chr(10) || '  Total: Rs ' || format('{{:,.0f}}', sum(predicted_revenue)) || '  |  Avg/day: Rs ' || format('{{:,.0f}}', avg(predicted_revenue)) AS context
+FROM l GROUP BY product_category""",
         "standardise": _standardised(),
         # Text
         "chunk_documents": f"WITH {CHUNKS} SELECT doc_id, source, chunk_id, chunk_text FROM chunks",

@@ -15,14 +15,17 @@ ROW_KEYS = {
 }
 
 
+SPREAD_AT_MOST = 32
+
+
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Share the rows out when a scan has fewer splits than the session has cores.
+    """Share the rows of a small scan out over the cores.
 
-    A small table in one file with one row group would keep a single core busy.  A table
-    with enough splits is returned as it is, so nothing large is ever shuffled here.
+    A table in one file with one row group would keep a single core busy.  A scan of 32
+    splits or more is returned as it is, so no more than a few GB are ever shuffled here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_AT_MOST)
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,6 +38,8 @@ def differences(spark, con, query, sql: str, sf_dir: str) -> list[str]:
     names = [d[0] for d in cursor.description]
     theirs = cursor.fetchall()
     problems = []
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    problems += [f"plan holds {join}" for join in ("CartesianProduct", "BroadcastNestedLoopJoin") if join in plan]
     if sorted(df.columns) != sorted(names):
         problems.append(f"columns differ: {sorted(set(df.columns) ^ set(names))}")
         return problems
