@@ -119,6 +119,9 @@ def fit(
     wanted = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < first_cut)
     x = F.array(*[((F.col(c) - m) / s).cast("double") for c, m, s in zip(features, means, stds, strict=True)])
     members = df.select(*keys, x.alias("x"), F.explode(wanted).alias("tree")).withColumn("place", place(F.col("tree")))
+    # Few bytes but much work per row, so the number of tasks is set rather than left to their size.
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    members = members.repartition(tasks, "tree")
     order = F.row_number().over(Window.partitionBy("tree").orderBy("place", *keys))
     members = members.withColumn("rank", order).where(F.col("rank") <= per_tree)
 

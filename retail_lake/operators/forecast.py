@@ -262,6 +262,7 @@ def forecast_summary(forecasts: DataFrame) -> DataFrame:
 
 def forecast_context(forecasts: DataFrame) -> DataFrame:
     """One text block per category: a line per day and a closing total."""
+    # Wording and layout of the lines.
     money = F.format_number("predicted_revenue", 0)
     line = F.concat(
         F.lit("  "), F.date_format("date", "yyyy-MM-dd"), F.lit(" ("), F.rpad(F.col("day_of_week"), 9, " "),

@@ -8,13 +8,22 @@ from retail_lake.sources.tables import create_database, overwrite_table, with_ru
 
 
 def bronze_to_silver(
-    spark: SparkSession, raw: DataFrame, database: str, run: tuple[str, str] | None = None, fmt: str = "parquet"
+    spark: SparkSession,
+    raw: DataFrame,
+    database: str,
+    run: tuple[str, str] | None = None,
+    fmt: str = "parquet",
+    partition_by: list[str] | None = None,
 ) -> DataFrame:
-    """Clean the raw rows and store them; ``run`` is (run id, run date) and adds audit columns."""
+    """Clean the raw rows and store them; ``run`` is (run id, run date) and adds audit columns.
+
+    ``partition_by`` (say, year) lets later date ranges skip folders; it pays where the raw
+    files already arrive by date, as each task then writes few folders.
+    """
     rows = silver.silver(raw)
     if run:
         rows = with_run_columns(rows, *run)
-    return overwrite_table(rows, f"{database}.transactions", fmt)
+    return overwrite_table(rows, f"{database}.transactions", fmt, partition_by)
 
 
 def silver_to_gold(

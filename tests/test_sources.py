@@ -88,6 +88,15 @@ def test_medallion_end_to_end(spark, tmp_path):
     assert again["monthly_summary"].agg(F.sum("monthly_revenue")).first()[0] == 400.0
 
 
+def test_silver_can_be_split_by_year(spark, tmp_path):
+    source = put(tmp_path / "in", "a.csv", HEADER, ROW1, ROW2.replace("2023", "2024"))
+    tables.create_database(spark, "t_by_year", str(tmp_path / "t"))
+    stored = medallion.bronze_to_silver(spark, csv_files.read_raw(spark, source), "t_by_year", partition_by=["year"])
+    text = stored.where("year = 2024").select("transaction_id")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in text
+    assert [r.transaction_id for r in stored.where("year = 2024").collect()] == ["T002"]
+
+
 def test_serving_tables(spark, tmp_path):
     tables.create_database(spark, "t_serving", str(tmp_path / "serving"))
     tables.create_serving_tables(spark, "t_serving")
