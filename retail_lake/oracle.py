@@ -231,7 +231,7 @@ scores AS (
   SELECT query_id, doc_id, round(sum(
            ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean_n))), 6) AS relevance_score
   FROM terms JOIN tf USING (term) JOIN df USING (term), corpus
-  WHERE wanted IS NULL OR category IN (wanted, 'All') GROUP BY query_id, doc_id),
+  WHERE wanted IS NULL OR category = wanted GROUP BY query_id, doc_id),
 found AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, doc_id) AS rank FROM scores)
   WHERE rank <= {k})"""

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from retail_lake.operators import anomaly, features, forecast, metrics
+from retail_lake.operators import anomaly, forecast, metrics
 from retail_lake.plans import training
 from retail_lake.schema import CATEGORIES, FORECAST_FEATURES, LEAK_FREE_FEATURES
 from retail_lake.sources.star_schema import transactions

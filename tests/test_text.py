@@ -65,9 +65,11 @@ def test_bm25_against_the_formula(entries):
     expected = {i: score(w, ["electronics", "sell"]) for i, w in docs.items()}
     got = {r.id: r.relevance_score for r in found.where("query_id = 'q'").collect()}
     assert got == pytest.approx({i: s for i, s in expected.items() if s > 0}, abs=1e-6)
-    assert ids(found, "f") == ["3", "1"]
+    assert ids(found, "f") == ["3"]
     with pytest.raises(ValueError):
         retrieval.bm25_search(entries, [Query("q", "?!")], ["id"])
+    with pytest.raises(ValueError):
+        Query("q", "")
 
 
 @pytest.mark.parametrize("block_mb", [64, 0])
@@ -92,6 +94,13 @@ def test_equal_vectors_rank_by_id(spark):
     assert none.count() == 0
 
 
+def test_zero_vectors_come_last(spark):
+    corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, [3.0, 0.0])], "id long, v array<double>")
+    queries = spark.createDataFrame([("a", [1.0, 0.0]), ("z", [0.0, 0.0])], "q string, v array<double>")
+    got = retrieval.vector_top_k(corpus, queries, "id", "q", "v", k=3).orderBy("q", "rank").collect()
+    assert [(r.q, r.id) for r in got] == [("a", 3), ("a", 2), ("a", 1), ("z", 1), ("z", 2), ("z", 3)]
+
+
 def test_top_k_prunes_before_the_shuffle(entries):
     found = retrieval.keyword_search(entries, [Query("q", "sell")], ["id"], k=2)
     plan = found._jdf.queryExecution().executedPlan().toString()
