@@ -77,9 +77,9 @@ def anomaly_records(scored: DataFrame) -> DataFrame:
 
 
 def enriched(daily: DataFrame, anomalies: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """Daily revenue with its anomaly and forecast columns where those exist."""
+    """Daily revenue with its anomaly and forecast columns where those exist; a day without a flag is not flagged."""
     keys = ["date", "product_category"]
-    return daily.join(anomalies, keys, "left").join(forecasts, keys, "left")
+    return daily.join(anomalies, keys, "left").join(forecasts, keys, "left").na.fill(0, ["anomaly_flag"])
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

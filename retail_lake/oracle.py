@@ -451,7 +451,7 @@ FROM typed GROUP BY GROUPING SETS ((), (product_category))""",
         "gold_customer_segments": f"""WITH {SILVER}, {GOLD_SEGMENTS} SELECT product_category, gender, age_group, transaction_count,
        {r('total_revenue', 'avg_spend', 'avg_quantity')} FROM segments""",
         "gold_enriched": f"""WITH {flagged()} SELECT {day('date')}, product_category, {r('daily_revenue')}, daily_quantity,
-       CASE WHEN anomaly_flag = 1 THEN 1 END AS anomaly_flag,
+       anomaly_flag,
        {rx('CASE WHEN anomaly_flag = 1 THEN revenue_z_score END', 'revenue_z_score')}, {rx('lag_7', 'predicted_revenue')} FROM scored""",
         "gold_row_counts": f"""WITH {SILVER}, {GOLD_DAILY}, {GOLD_MONTHLY}, {GOLD_SEGMENTS}
 SELECT 'daily_revenue' AS table_name, count(*) AS rows FROM gold_daily
