@@ -3,8 +3,14 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from retail_lake.llm.mixing import mix
 from retail_lake.llm.ngram_join import ngram_jaccard_join
+from retail_lake.llm.sharding import histogram_shards
+from retail_lake.llm.token_counts import token_counts
+from retail_lake.llm.token_output import token_index, write_token_ids
+from retail_lake.staging import work_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +21,30 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = write_token_ids(_table(spark, sf_dir, "documents"), work_path(spark, "token_ids"))
+    return token_index(spark, out)
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = mix(_table(spark, sf_dir, "documents"))
+    return docs.select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        F.col("_taken").alias("taken"),
+    )
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_shards(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: function for name, function in list(globals().items()) if name.startswith("op")
 }
