@@ -5,8 +5,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retail_lake.llm import language
+from retail_lake.llm.decontaminate import benchmark_matches
 from retail_lake.llm.mixing import mix
 from retail_lake.llm.ngram_join import ngram_jaccard_join
+from retail_lake.llm.secrets import secret_scan
 from retail_lake.llm.sharding import histogram_shards
 from retail_lake.llm.token_counts import token_counts
 from retail_lake.llm.token_output import token_index, write_token_ids
@@ -21,11 +24,23 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = write_token_ids(_table(spark, sf_dir, "documents"), work_path(spark, "token_ids"))
     return token_index(spark, out)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(language.training_rows(docs))
+    return language.predict(docs, model).select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans")
+    )
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = mix(_table(spark, sf_dir, "documents"))
     return docs.select(
@@ -37,6 +52,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
