@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retail_lake.llm import language
+from retail_lake.llm.chat import chat_windows, digests
+from retail_lake.llm.common import written
 from retail_lake.llm.decontaminate import benchmark_matches
+from retail_lake.llm.fingerprints import fingerprints_with_edits
 from retail_lake.llm.mixing import mix
 from retail_lake.llm.ngram_join import ngram_jaccard_join
 from retail_lake.llm.secrets import secret_scan
@@ -33,6 +36,15 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, out)
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(extra)
+    return digests(written(chat_windows(turns), "chat"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.fit(language.training_rows(docs))
@@ -41,6 +53,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = mix(_table(spark, sf_dir, "documents"))
     return docs.select(
