@@ -98,10 +98,10 @@ def likeness(a: Column, b: Column) -> Column:
 
     def differing(x: Column, y: Column) -> Column:
         # the lowest bit of each byte becomes the disjunction of that byte's bits
-        v = x.bitwiseXOR(y)
-        for step in (4, 2, 1):
-            v = let(v, lambda u, step=step: u.bitwiseOR(F.shiftrightunsigned(u, step)))
-        return F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
+        folded = let(x.bitwiseXOR(y), lambda v: v.bitwiseOR(F.shiftrightunsigned(v, 4)))
+        folded = let(folded, lambda v: v.bitwiseOR(F.shiftrightunsigned(v, 2)))
+        folded = let(folded, lambda v: v.bitwiseOR(F.shiftrightunsigned(v, 1)))
+        return F.bit_count(folded.bitwiseAND(F.lit(0x0101010101010101)))
 
     apart = F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, n: total + n)
     chance = 1.0 / (1 << BITS)
