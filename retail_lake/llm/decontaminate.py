@@ -155,16 +155,40 @@ def benchmark_matches(
 
     Tasks hold ``ITEMS_AT_ONCE`` items; a larger benchmark is searched in several passes.
     """
-    passes = -(-benchmark.count() // ITEMS_AT_ONCE) or 1
-    own = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    # hashes spread items unevenly: half as many again leaves room
-    dealt = own.withColumn("pass", F.pmod(F.xxhash64("text"), F.lit(passes if passes == 1 else 2 * passes)))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = []
-    for k in range(passes if passes == 1 else 2 * passes):
-        items = [(r["item_id"], r["text"]) for r in dealt.where(F.col("pass") == k).collect()]
-        found.append(_search(texts, items, size, least, radius))
-    return reduce(DataFrame.unionAll, found)
+    return reduce(DataFrame.unionAll, [_search(texts, items, size, least, radius) for items in _passes(benchmark)])
+
+
+def without_benchmark(
+    docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE_WORDS, least: float = SIMILAR / 100, radius: int = RADIUS
+) -> DataFrame:
+    """The rows of ``docs``, all columns, in which ``benchmark_matches`` finds nothing; no row is shuffled."""
+    for items in _passes(benchmark):
+        docs = _clean(docs, items, size, least, radius)
+    return docs
+
+
+def _passes(benchmark: DataFrame) -> Iterator[list]:
+    """The items in lists of about ``ITEMS_AT_ONCE`` at most."""
+    count = benchmark.count()
+    # hashes spread items unevenly: twice as many lists leave room
+    passes = 1 if count <= ITEMS_AT_ONCE else -(-2 * count // ITEMS_AT_ONCE)
+    own = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    dealt = own.withColumn("pass", F.pmod(F.xxhash64("text"), F.lit(passes)))
+    for k in range(passes):
+        yield [(r["item_id"], r["text"]) for r in dealt.where(F.col("pass") == k).collect()]
+
+
+def _clean(docs: DataFrame, items: list, size: int, least: float, radius: int) -> DataFrame:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table = Items(items, size, radius), WordHashes()
+        for batch in batches:
+            good = [not known.matches(words_of(t or ""), table, size, least) for t in batch.column("text").to_pylist()]
+            yield batch.select(["row"]).filter(pa.array(good))
+
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = docs.select(F.col("text").cast("string").alias("text"), whole).mapInArrow(clean, f"row {docs.schema.simpleString()}")
+    return kept.select("row.*")
 
 
 def _search(texts: DataFrame, items: list, size: int, least: float, radius: int) -> DataFrame:

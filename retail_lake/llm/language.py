@@ -237,17 +237,18 @@ def _spans(text: str, labels: np.ndarray, languages: list[str]) -> list[dict]:
     ]
 
 
-def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
+def predict(docs: DataFrame, model: Model, switch: float = SWITCH, carry: bool = False) -> DataFrame:
     """``doc_id, lang_pred, score, spans`` of every row; only ``doc_id`` and ``text`` are read.
 
     ``lang_pred`` labels most letters, ``score`` is their share of all letters, ``spans`` lists
     stretches of one language in characters (a text in one language ends at its end).  Texts
-    that are null or have no letter are ``und`` with score 0 and no spans.
+    that are null or have no letter are ``und`` with score 0 and no spans.  With ``carry`` the
+    whole input row follows as a struct ``row``, so its names cannot clash with these.
     """
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-        schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", span)])
+        fields = [pa.field("doc_id", pa.int64()), pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("spans", span)]
         known = Words(model)
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
@@ -274,8 +275,15 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
                     letters = np.bincount(path, weights=known.letters[ids[at]], minlength=len(model.languages))
                     best = int(letters.argmax())
                     out[at] = (model.languages[best], float(letters[best] / letters.sum()), _spans(texts[at], path, model.languages))
-                yield rows(schema, [batch.column("doc_id"), *([o[i] for o in out] for i in range(3))])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        label, "doc_id long, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
-    )
+                found = [batch.column("doc_id"), *([o[i] for o in out] for i in range(3))]
+                if carry:
+                    yield rows(pa.schema([*fields, batch.schema.field("row")]), [*found, batch.column("row")])
+                else:
+                    yield rows(pa.schema(fields), found)
+
+    wanted = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    out = "doc_id long, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
+    if carry:
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        return docs.select(*wanted, whole).mapInArrow(label, f"{out}, row {docs.schema.simpleString()}")
+    return docs.select(*wanted).mapInArrow(label, out)

@@ -83,24 +83,29 @@ def _permuted(j: np.ndarray, size: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def spans(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """Documents with ``size`` (words) and ``begin``: the words of their source before them.
+def order_hash():
+    """The pseudorandom place of a document in its source."""
+    return F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    The order is by hash; a source's documents are dealt over ``spread`` parts whose totals are
-    summed first, so no task holds a whole source.  Equal rows may swap places.
-    """
+
+def sized(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """``doc_id, _source, _size`` (words), ``_order`` and ``_part``, one of ``spread`` parts of a source."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = docs.withColumns(
-        {
-            "_size": F.regexp_count(text, F.lit(WORD)).cast("long"),
-            "_order": F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), F.col("text").cast("string")),
-            "_source": F.col("source").cast("string"),
-        }
-    ).withColumn("_part", F.pmod("_order", F.lit(spread)))
-    return sized
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("_source"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"),
+        order_hash().alias("_order"),
+        F.pmod(order_hash(), F.lit(spread)).alias("_part"),
+    )
 
 
 def _begins(staged: DataFrame) -> DataFrame:
+    """Rows with ``_begin``, the words of their source before them in the order of ``_order``.
+
+    The parts of a source are summed first, so no task holds a whole source; equal rows may
+    swap places.
+    """
     per_part = staged.groupBy("_source", "_part").agg(F.sum("_size").alias("n"))
     parts = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_part.select("_source", "_part", F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("_base"))
@@ -165,22 +170,22 @@ def slots(spark, sources: list[Source], shards: int = OUTPUT_SHARDS, seed: int =
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The documents with what the mix takes of each, and the mix itself.
 
-    First: all rows and columns of ``docs`` plus ``_size``, ``_source_size``, ``_target`` (its
-    source's) and ``_taken`` (words, repeats counted).  Second: ``shard, place, source, block,
+    First: a row per row of ``docs`` with ``doc_id``, ``_order`` (hash of doc_id and text),
+    ``_size``, ``_source_size``, ``_target`` (its source's) and ``_taken`` (words, repeats counted).  Second: ``shard, place, source, block,
     doc_id, from_word, to_word``, the words that make up each slot.
 
     Sizes are counted in words of the whole text; null and empty texts have none and are never
     taken.  Null is a source of its own and the last.  A source without words has target 0.
     """
     spark = docs.sparkSession
-    staged = written(spans(docs).select("doc_id", "_source", "_size", "_order", "_part"), "sizes")
+    staged = written(sized(docs), "sizes")
     sources = plan(staged, block)
     named = spark.createDataFrame(
         [(s.number, s.name, s.size, s.target) for s in sources],
         "source_number int, _s string, _source_size long, _target double",
     )
     placed = _begins(staged).join(named, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    placed = written(placed.withColumn("_row", F.struct("_order", "_size", "_begin")), "spans")
+    placed = written(placed, "spans")
     first, last = F.expr(f"_begin div {block}"), F.expr(f"(_begin + _size - 1) div {block}")
     cut = placed.where("_size > 0").select(
         "doc_id", "source_number", "_begin", "_size", F.explode(F.sequence(first, last)).alias("block")
@@ -203,3 +208,20 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS,
         "shard", "place", "source_number", "block", "doc_id", "from_word", "to_word"
     )
     return result, output
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes its words.
+
+    A document of which a part is taken counts as a whole one with that part as its chance,
+    decided by its hash; so sources come near their targets and no row occurs more than three times.
+    """
+    taken, _ = mix(docs, block, seed=seed)
+    times = (F.col("_taken") / F.col("_size")).cast("double")
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.lit(1 << 20)) / float(1 << 20)
+    copies = taken.where("_taken > 0").select(F.col("doc_id").alias("_doc_id"), "_order", (F.floor(times) + (chance < times - F.floor(times)).cast("int")).alias("_copies"))
+    # rows equal in doc_id and text are taken as often as the luckiest of them
+    shares = copies.groupBy("_doc_id", "_order").agg(F.max("_copies").cast("int").alias("_copies")).where("_copies > 0")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_d"), order_hash().alias("_o"))
+    chosen = whole.join(shares, (F.col("_o") == F.col("_order")) & F.col("_d").eqNullSafe(F.col("_doc_id")))
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
