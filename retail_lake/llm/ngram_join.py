@@ -4,14 +4,14 @@ Similar documents are put into groups, each group stores the union of its member
 document's overlap with that union bounds its overlap with every member, and only groups whose
 bound reaches the needed overlap are opened and compared exactly.
 
-The tokens travel packed: each task sends one row per range of token hashes, with the tokens of
-many documents, so a shuffle moves about 6 bytes a token and few rows.
+The tokens travel packed: a flush is a run of documents in one task, and for each range of token
+hashes it sends one row with the tokens of all of them, 6 bytes a token and 3 for whose it is.
 
 1. ``token_sets``: per document the number of its distinct shingles and a key of the set.
-   Equal sets have equal keys and are one class from then on.
-2. Token ranges count in how many classes a token occurs and return the tokens that occur in
-   two or more.  A class with too few of them has no partner: this exact test ends the work
-   for nearly all documents.
+   Equal sets have equal keys and are one class.
+2. Token ranges count how many sets hold a token and return to the flushes the tokens that two
+   or more hold.  A set with too few of them has no partner: this exact test ends the work
+   for nearly all documents.  (Copies in other flushes count too, which only lets more pass.)
 3. What remains is sorted by min-hashes and cut into groups of bounded size.
 4. The matrix: ranges of the rarest tokens of each class (so many that every partner must share
    one) hold the groups they occur in, and name the pairs of groups that can hold partners.
@@ -31,7 +31,11 @@ from retail_lake.llm import common
 from retail_lake.llm.common import SHINGLE_WORDS, SIMILAR, WordHashes, byte_texts, lower_words, rows, runs, written
 from retail_lake.llm.graph import components
 
-FLUSH_TOKENS = 1 << 21
+FLUSH_TOKENS = 1 << 20
+FLUSH_DOCS = 60_000
+#: Tokens that one range of hashes holds on average, and the least number of ranges.
+RANGE_TOKENS = 4_000_000
+RANGES = 64
 GROUP_DOCS = 64
 GROUP_LEAST = 16
 GROUP_TOKENS = 1 << 17
@@ -39,8 +43,11 @@ GROUP_TOKENS = 1 << 17
 DENSE_CELLS = 1 << 24
 
 SETS = "doc_id long, n_shingles long, key long"
-BLOCKS = "part int, keys binary, sizes binary, counts binary, low binary, mid binary, seen binary"
-_BLOCKS = pa.schema([("part", pa.int32())] + [(c, pa.binary()) for c in ("keys", "sizes", "counts", "low", "mid", "seen")])
+#: A row of tokens: whose they are (places in the flush and counts), their low and middle bits, and how many
+#: sets hold each.  A row without tokens is the flush's table: keys and sizes of its sets by place.
+BLOCKS = "part int, flush long, places binary, counts binary, low binary, mid binary, seen binary, keys binary, sizes binary"
+_BINARY = ("places", "counts", "low", "mid", "seen", "keys", "sizes")
+_BLOCKS = pa.schema([("part", pa.int32()), ("flush", pa.int64())] + [(c, pa.binary()) for c in _BINARY])
 CLASSES = "key long, n long, tokens binary, prefix binary, m1 long, m2 long"
 GROUPS = "gid long, keys binary, sizes binary, weights binary, tokens binary, members binary, counts binary, prefix binary"
 _GROUPS = pa.schema([("gid", pa.int64())] + [(c, pa.binary()) for c in ("keys", "sizes", "weights", "tokens", "members", "counts", "prefix")])
@@ -69,25 +76,24 @@ def token_sets(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sets, SETS)
 
 
-def _blocks(parts: int, keys, sizes, counts, tokens: np.ndarray, of: np.ndarray, seen=None) -> Iterator[pa.RecordBatch]:
-    """One row per part: the entries (document, count of its tokens) and their tokens side by side."""
+def _blocks(flush: int, places, tokens: np.ndarray, of: np.ndarray, seen=None) -> Iterator[pa.RecordBatch]:
+    """One row for each part in ``of``: the tokens and their owners' places, grouped by owner."""
     order = np.argsort(of, kind="stable")
-    which = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)[order]
-    tokens, of = tokens[order], of[order]
+    places, tokens, of = places[order], tokens[order], of[order]
     seen = None if seen is None else seen[order]
-    starts = np.searchsorted(of, np.arange(parts + 1))
+    starts = np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1, [len(of)]]).tolist()
     out: dict[str, list] = {c: [] for c in _BLOCKS.names}
-    for part in np.nonzero(np.diff(starts))[0]:
-        a, b = starts[part], starts[part + 1]
-        first = np.concatenate([[0], np.nonzero(np.diff(which[a:b]))[0] + 1])
-        docs = which[a:b][first]
-        out["part"].append(int(part))
-        out["keys"].append(keys[docs].tobytes())
-        out["sizes"].append(sizes[docs].astype(np.uint32).tobytes())
-        out["counts"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        first = np.concatenate([[0], np.nonzero(np.diff(places[a:b]))[0] + 1])
+        out["part"].append(int(of[a]))
+        out["flush"].append(flush)
+        out["places"].append(places[a:b][first].astype(np.uint16).tobytes())
+        out["counts"].append(_counts_out(np.diff(np.append(first, b - a))))
         out["low"].append(tokens[a:b].astype(np.uint32).tobytes())
         out["mid"].append((tokens[a:b] >> np.uint64(32)).astype(np.uint16 if seen is None else np.uint32).tobytes())
         out["seen"].append(None if seen is None else np.minimum(seen[a:b], 65535).astype(np.uint16).tobytes())
+        out["keys"].append(None)
+        out["sizes"].append(None)
         if len(out["part"]) == 64:
             yield rows(_BLOCKS, list(out.values()))
             out = {c: [] for c in _BLOCKS.names}
@@ -95,17 +101,47 @@ def _blocks(parts: int, keys, sizes, counts, tokens: np.ndarray, of: np.ndarray,
         yield rows(_BLOCKS, list(out.values()))
 
 
+def _counts_out(counts: np.ndarray) -> bytes:
+    """Counts in one byte each; 255 announces four more bytes at the end."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.uint32).tobytes()
+
+
+def _counts_in(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    if len(data) > n:
+        counts[counts == 255] = np.frombuffer(data[n:], np.uint32)
+    return counts
+
+
+def _tokens_in(row: dict, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Owner's place and token, side by side."""
+    places = np.frombuffer(row["places"], np.uint16)
+    low = np.frombuffer(row["low"], np.uint32).astype(np.uint64)
+    mid = np.frombuffer(row["mid"], np.uint32 if wide else np.uint16).astype(np.uint64)
+    return np.repeat(places, _counts_in(row["counts"], len(places))), (mid << np.uint64(32)) | low
+
+
 def _token_blocks(docs: DataFrame, parts: int, size: int) -> DataFrame:
-    """The distinct tokens of all documents, dealt by their leading bits; copies within a flush go once."""
+    """The distinct tokens of all documents, dealt by their leading bits; copies within a flush go once.
+
+    Parts from ``parts`` on are the flushes' tables.
+    """
 
-    def emit(held):
+    def emit(held, nth: int):
+        keys = np.array([k for k, _ in held], np.int64)
         sizes = np.array([len(t) for _, t in held], np.int64)
+        # a name of its own for the flush, the same if the task runs again
+        seed = (TaskContext.get().partitionId() << 32) + nth
+        flush = xxhash.xxh3_64_intdigest(keys.tobytes(), seed=seed) - (1 << 63)
+        none = [None] * (len(_BINARY) - 2)
+        yield rows(_BLOCKS, [[parts], [flush], *([v] for v in none), [keys.tobytes()], [sizes.astype(np.uint32).tobytes()]])
         tokens = np.concatenate([t for _, t in held])
         of = (((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16)
-        yield from _blocks(parts, np.array([k for k, _ in held], np.int64), sizes, sizes, tokens, of)
+        yield from _blocks(flush, np.repeat(np.arange(len(held)), sizes), tokens, of)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, total, known = WordHashes(), [], 0, set()
+        table, held, total, known, nth = WordHashes(), [], 0, set(), 0
         for batch in batches:
             for text in byte_texts(batch):
                 tokens = np.unique(common.shingles(lower_words(text), table, size))
@@ -114,55 +150,44 @@ def _token_blocks(docs: DataFrame, parts: int, size: int) -> DataFrame:
                 known.add(key)
                 held.append((key, tokens))
                 total += len(tokens)
-                if total >= FLUSH_TOKENS:
-                    yield from emit(held)
-                    held, total, known = [], 0, set()
+                if total >= FLUSH_TOKENS or len(held) >= FLUSH_DOCS:
+                    yield from emit(held, nth)
+                    held, total, known, nth = [], 0, set(), nth + 1
         if held:
-            yield from emit(held)
+            yield from emit(held, nth)
 
     return docs.select(F.col("text").cast("string")).mapInArrow(blocks, BLOCKS)
 
 
-def _entries(held: list[dict], wide: bool):
-    """Keys, sizes, counts, tokens and seen counts of several rows of blocks."""
-    keys = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in held])
-    sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in held]).astype(np.int64)
-    counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in held]).astype(np.int64)
-    low = np.concatenate([np.frombuffer(r["low"], np.uint32) for r in held]).astype(np.uint64)
-    mid = np.concatenate([np.frombuffer(r["mid"], np.uint32 if wide else np.uint16) for r in held]).astype(np.uint64)
-    seen = np.concatenate([np.frombuffer(r["seen"], np.uint16) for r in held]).astype(np.int64) if wide else None
-    return keys, sizes, counts, (mid << np.uint64(32)) | low, seen
-
-
-def _shared_blocks(blocks: DataFrame, parts: int, back: int) -> DataFrame:
-    """Tokens that two or more classes hold, with the number of holders, dealt back by class key."""
+def _shared_blocks(blocks: DataFrame, parts: int) -> DataFrame:
+    """Tokens that two or more sets hold, with the number of holders, and the flushes' tables as they came."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, held in runs(batches, "part"):
-            keys, sizes, counts, tokens, _ = _entries(held, wide=False)
-            del held
-            # a class that several tasks have sent counts once
-            _, first = np.unique(keys, return_index=True)
-            once = np.zeros(len(keys), bool)
-            once[first] = True
-            keep = np.repeat(once, counts)
-            keys, sizes, counts, tokens = keys[once], sizes[once], counts[once], tokens[keep]
+            if part >= parts:
+                for row in held:
+                    yield rows(_BLOCKS, [[row[c]] for c in _BLOCKS.names])
+                continue
+            owners = [_tokens_in(row) for row in held]
+            flushes = [row["flush"] for row in held]
+            ends = np.cumsum([len(t) for _, t in owners])
+            tokens = np.concatenate([t for _, t in owners])
+            places = np.concatenate([p for p, _ in owners])
+            del held, owners
             order = np.argsort(tokens, kind="stable")
-            ends = np.append(np.nonzero(np.diff(tokens[order]))[0] + 1, len(tokens))
-            holders = np.diff(np.insert(ends, 0, 0))
+            stops = np.append(np.nonzero(np.diff(tokens[order]))[0] + 1, len(tokens))
+            holders = np.diff(np.insert(stops, 0, 0))
             seen = np.empty(len(tokens), np.int64)
             seen[order] = np.repeat(holders, holders)
-            shared = seen > 1
-            if not shared.any():
-                continue
-            which = np.repeat(np.arange(len(counts)), counts)[shared]
-            left = np.bincount(which, minlength=len(counts))
-            docs = np.nonzero(left)[0]
-            tokens = tokens[shared] | (np.uint64(part) << np.uint64(48))
-            of = np.repeat((common.mixed(keys[docs].view(np.uint64)) % np.uint64(back)).astype(np.uint16), left[docs])
-            yield from _blocks(back, keys[docs], sizes[docs], left[docs], tokens, of, seen[shared])
+            tokens |= np.uint64(part) << np.uint64(48)
+            for flush, a, b in zip(flushes, np.insert(ends[:-1], 0, 0).tolist(), ends.tolist(), strict=True):
+                at = a + np.nonzero(seen[a:b] > 1)[0]
+                if len(at):
+                    yield from _blocks(flush, places[at], tokens[at], np.zeros(len(at), np.int32), seen[at])
 
-    return blocks.repartition(parts_of(blocks), "part").sortWithinPartitions("part").mapInArrow(count, BLOCKS)
+    # tables have no tokens to count and are spread by their flush
+    spread = blocks.withColumn("part", F.when(F.col("keys").isNull(), F.col("part")).otherwise(parts + F.pmod("flush", F.lit(parts)).cast("int")))
+    return spread.repartition(parts_of(blocks), "part").sortWithinPartitions("part").mapInArrow(count, BLOCKS)
 
 
 def parts_of(df: DataFrame) -> int:
@@ -175,15 +200,17 @@ def _classes(shared: DataFrame) -> DataFrame:
     schema = pa.schema(list(zip(("key", "n", "tokens", "prefix", "m1", "m2"), kinds, strict=True)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in runs(batches, "part"):
-            keys, sizes, counts, tokens, seen = _entries(held, wide=True)
+        for _, held in runs(batches, "flush"):
+            table = next(r for r in held if r["keys"] is not None)
+            of, n = np.frombuffer(table["keys"], np.int64), np.frombuffer(table["sizes"], np.uint32).astype(np.int64)
+            owners = [(*_tokens_in(r, wide=True), np.frombuffer(r["seen"], np.uint16)) for r in held if r["keys"] is None]
             del held
-            of, inverse = np.unique(keys, return_inverse=True)
-            total = np.bincount(inverse, weights=counts, minlength=len(of)).astype(np.int64)
-            n = np.zeros(len(of), np.int64)
-            n[inverse] = sizes
+            if not owners:
+                continue
+            which, tokens, seen = (np.concatenate(c) for c in zip(*owners, strict=True))
+            which = which.astype(np.int64)
+            total = np.bincount(which, minlength=len(of))
             good = total >= needed(n)
-            which = np.repeat(inverse, counts)
             keep = good[which]
             which, tokens, seen = which[keep], tokens[keep], seen[keep]
             order = np.lexsort((tokens, seen, which))
@@ -209,7 +236,8 @@ def _classes(shared: DataFrame) -> DataFrame:
             if out[0]:
                 yield rows(schema, out)
 
-    return shared.repartition(parts_of(shared), "part").sortWithinPartitions("part").mapInArrow(gather, CLASSES)
+    spread = shared.repartition(parts_of(shared), "flush").sortWithinPartitions("flush")
+    return spread.mapInArrow(gather, CLASSES).dropDuplicates(["key"])
 
 
 def _groups(classes: DataFrame) -> DataFrame:
@@ -255,8 +283,7 @@ def _matrix(groups: DataFrame, parts: int) -> DataFrame:
             for gid, prefix in zip(batch.column("gid").to_pylist(), batch.column("prefix").to_pylist(), strict=True):
                 tokens = np.frombuffer(prefix, np.uint64)
                 of = (common.mixed(tokens) % np.uint64(parts)).astype(np.uint16)
-                one = np.array([len(tokens)])
-                yield from _blocks(parts, np.array([gid]), one, one, tokens, of, np.ones(len(tokens), np.int64))
+                yield from _blocks(gid, np.zeros(len(tokens), np.int64), tokens, of, np.ones(len(tokens), np.int64))
 
     return groups.select("gid", "prefix").mapInArrow(deal, BLOCKS)
 
@@ -267,8 +294,9 @@ def _pairs(matrix: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in runs(batches, "part"):
-            gids, _, counts, tokens, _ = _entries(held, wide=True)
-            gids = np.repeat(gids, counts)
+            owners = [(r["flush"], _tokens_in(r, wide=True)[1]) for r in held]
+            tokens = np.concatenate([t for _, t in owners])
+            gids = np.repeat(np.array([g for g, _ in owners], np.int64), [len(t) for _, t in owners])
             order = np.lexsort((gids, tokens))
             gids, tokens = gids[order], tokens[order]
             ends = np.append(np.nonzero(np.diff(tokens))[0] + 1, len(tokens))
@@ -388,14 +416,14 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     but never give a component its name (a component of such rows alone has a null one).
     Tokens are compared as hashes of 48 bits and more within ranges of hashes.
     """
-    spark = docs.sparkSession
-    parts = min(4 * common.partitions(spark), 60_000)
     sets = written(token_sets(docs, size), "sets")
+    tokens = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = min(max(RANGES, -(-tokens // RANGE_TOKENS)), 60_000)
     known = sets.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"))
-    shared = _shared_blocks(_token_blocks(docs, parts, size), parts, parts)
+    shared = _shared_blocks(_token_blocks(docs, parts, size), parts)
     classes = written(_classes(shared), "classes").join(known.select("key", "weight"), "key")
     groups = written(_groups(written(classes, "weighted")), "groups")
-    found = written(_links(groups, _pairs(_matrix(groups, parts))), "links")
+    found = written(_links(groups, _pairs(_matrix(groups, RANGES))), "links")
     between = found.groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("between"))
     roots = components(found.select("u", "v")).withColumnsRenamed({"node": "key"})
     names = known.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
