@@ -155,22 +155,31 @@ def fingerprints_with_edits(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataF
     linked = written(next_documents(ids), "next")
     picks = linked.select(F.col("doc_id").alias("p"), F.col("pick").alias("next_pick"))
     wanted = linked.join(picks, F.col("next_id").eqNullSafe(F.col("p"))).select(
-        F.col("doc_id").alias("for_id"), "half", "next_id", "next_pick"
+        F.coalesce("doc_id", F.lit(0)).alias("id"),
+        F.isnull("doc_id").alias("no_id"),
+        "half",
+        F.coalesce("next_id", F.lit(0)).alias("n_id"),
+        F.isnull("next_id").alias("n_no_id"),
+        "next_pick",
     )
-    hashed = own.withColumn("packed", fingerprint(F.col("text"), size))
+    # both joins read one exchange of the texts by these two columns, so fingerprints are made after it
+    texts = own.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("no_id"), "text")
     prefixes = (
-        hashed.withColumnsRenamed({"doc_id": "n_id"})
-        .join(wanted, F.col("n_id").eqNullSafe(F.col("next_id")))
-        .where(F.xxhash64("text") == F.col("next_pick"))
-        .select("for_id", F.expr("left(text, half)").alias("prefix"), F.col("packed").alias("next_packed"))
-        .dropDuplicates(["for_id"])
+        texts.withColumnsRenamed({"id": "n_id", "no_id": "n_no_id"})
+        .join(wanted, ["n_id", "n_no_id"])
+        # written so that it does not become a key of the join
+        .where(F.xxhash64("text").bitwiseXOR(F.col("next_pick")) == 0)
+        .select("id", "no_id", F.expr("left(text, half)").alias("prefix"), fingerprint(F.col("text"), size).alias("next_packed"))
+        .dropDuplicates(["id", "no_id"])
     )
-    joined = hashed.join(prefixes, F.col("doc_id").eqNullSafe(F.col("for_id")))
+    joined = texts.join(prefixes, ["id", "no_id"]).withColumn("doc_id", F.when(~F.col("no_id"), F.col("id")))
     edited = joined.withColumn("n_chars", F.char_length("text").cast("long")).withColumn(
         "edited",
         F.expr("concat(left(text, int(n_chars - n_chars div 2)), left(prefix, int(n_chars div 2)))"),
     )
-    both = edited.withColumn("edited_packed", fingerprint(F.col("edited"), size))
+    both = edited.withColumns(
+        {"packed": fingerprint(F.col("text"), size), "edited_packed": fingerprint(F.col("edited"), size)}
+    )
     return both.select(
         "doc_id",
         "n_chars",
