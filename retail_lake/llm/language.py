@@ -259,7 +259,8 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, carry: bool =
                 texts = [(t or "").lower() for t in batch.column("text").to_pylist()]
                 ids = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in map(LETTERS.findall, texts)]
                 out = [(UNKNOWN, 0.0, [])] * len(texts)
-                known.learn()
+                if model.languages:
+                    known.learn()
                 open_, paths = [], {}
                 for at, own in enumerate(ids):
                     if not model.languages or not known.letters[own].any():
