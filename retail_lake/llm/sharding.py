@@ -1,7 +1,6 @@
 """Shards of near equal bytes by histogram sort.
 
-Rows are ordered by a key of three 64-bit numbers (hash of the text, doc_id, hash of the whole
-row), so equal texts stand together.  A small table of keys and byte sizes is written once;
+Rows are ordered by a key of three 64-bit numbers (hashes of the text, of doc_id and of both), so equal texts stand together.  A small table of keys and byte sizes is written once;
 each round counts the exact bytes below a set of probe keys in every task and adds the counts
 up, then puts new probes between the two that bracket each wanted splitter, until the bytes
 below a splitter are within the tolerance.  Only then are the rows exchanged, once.
@@ -22,6 +21,8 @@ SHARDS = 8
 TOLERANCE = 0.005
 #: Probes between the brackets of one splitter in a round.
 PROBES = 32
+#: Rounds that cut cells of many rows, after the splitters stand.
+EVEN_ROUNDS = 2
 _LEVELS = ("k1", "k2", "k3")
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -47,7 +48,7 @@ def _keys(docs: DataFrame) -> list[Column]:
     doc_id = F.col("doc_id").cast("long")
     return [
         F.xxhash64(text).alias("k1"),
-        F.coalesce(doc_id, F.lit(_LOW)).alias("k2"),
+        F.xxhash64(F.lit(3), doc_id).alias("k2"),
         F.xxhash64(F.lit(7), doc_id, F.col("text").cast("string")).alias("k3"),
     ]
 
@@ -115,7 +116,8 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float, pieces: int) -> S
     known: dict[Key, tuple[int, int]] = {}
     wanted: list[float] = []
     probes = [(_LOW + (k * (1 << 64)) // (4 * cuts), _LOW, _LOW) for k in range(1, 4 * cuts)]
-    rounds = 0
+    rounds, evened = 0, 0
+    fine: set[Key] = set()
     chosen: list[Key] = []
     while True:
         rounds += 1
@@ -136,10 +138,17 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float, pieces: int) -> S
             keep.update((low[0], high[0]))
             if abs(best[2] - goal) > tolerance * all_bytes / shards / 2 and high[1] - low[1] > 1:
                 probes += _between(low[0], high[0], PROBES)
+        if not probes and evened < EVEN_ROUNDS:
+            # a cell of many rows (copies of one text) is cut by doc_id, so that several tasks rank it
+            evened += 1
+            for a, b in zip(marks[:-1], marks[1:], strict=True):
+                if b[1] - a[1] > 4 * all_rows // cuts + 1:
+                    probes += _between(a[0], b[0], PROBES)
+            fine.update(probes)
         if not probes:
             break
         # evenly spread cells stay known: they later deal a shard's rows over several tasks
-        known = {k: v for k, v in known.items() if k in keep or k[1:] == (_LOW, _LOW)}
+        known = {k: v for k, v in known.items() if k in keep or k in fine or k[1:] == (_LOW, _LOW)}
     cells = [start, *sorted(k for k in known)]
     below = [0, *(known[k][0] for k in cells[1:])]
     chosen = [k for k in chosen]
@@ -160,8 +169,8 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = T
     The shards' sums of ``size`` (UTF-8 bytes of the text, null: none, plus 1) are near equal:
     each splitter is within half the tolerance of its place, or the one row there is larger.
     Equal texts stay in one shard unless a splitter falls among them.  ``slot`` counts a shard's
-    rows from 0 in key order; rows equal in doc_id and text may swap slots.  Null doc_ids are
-    ordered first among equal texts.  Columns beyond ``doc_id`` and ``text`` are not read.  ``pieces`` is
+    rows from 0 in key order; rows equal in doc_id and text may swap slots.  Null doc_ids
+    are ids like others.  Columns beyond ``doc_id`` and ``text`` are not read.  ``pieces`` is
     the least number of tasks that fill one shard.  ``grown_shard`` is null under this law.
     """
     keyed = written(
