@@ -42,7 +42,6 @@ SAMPLE_ROUTES = {
     "retail_analyst": ["and", "our", "la "],
     "product_knowledge": ["tion", "der", "ment"],
 }
-BOOSTING = {"maxIter": 20}
 Z_LIMIT = 2.0
 
 
@@ -60,7 +59,9 @@ def present(df: DataFrame) -> DataFrame:
         elif kind.startswith("decimal"):
             column = column.cast("double")
         elif kind == "double":
-            column = F.floor(column * 1e6 + 0.5) / 1e6
+            # the floor of a double as a double: a BIGINT would saturate
+            shifted = column * 1e6 + 0.5
+            column = (shifted - F.pmod(shifted, F.lit(1.0))) / 1e6
         shown.append(column.alias(field.name))
     return df.select(*shown)
 
@@ -256,7 +257,7 @@ def scan_documents(spark, d):
 
 @query
 def model_roundtrip(spark, d):
-    trained = training.train(transactions(spark, d), forest={"trees": 20}, **BOOSTING)
+    trained = training.train(transactions(spark, d))
     path = work_path(spark, "models")
     training.save(spark, trained, path)
     model, detector = training.load(spark, path)
@@ -642,14 +643,14 @@ def _split(spark, d):
 def gbt_fit(spark, d):
     """Errors per split of boosted trees on the full feature list."""
     split = _split(spark, d)
-    return metrics.forecast_metrics(forecast.predict(split, forecast.fit(split, **BOOSTING)))
+    return metrics.forecast_metrics(forecast.predict(split, forecast.fit(split)))
 
 
 @query
 def gbt_predict(spark, d):
     """Held-out days with forecast and relative error."""
     split = _split(spark, d)
-    model = forecast.fit(split, **BOOSTING)
+    model = forecast.fit(split)
     held_out = forecast.predict(split.where("split = 'validation'"), model)
     error = F.abs(F.col("prediction") - F.col("daily_revenue")) / F.greatest("daily_revenue", F.lit(1.0)) * 100
     return held_out.select("date", "product_category", "daily_revenue", "prediction", error.alias("error_percent"))
@@ -657,13 +658,13 @@ def gbt_predict(spark, d):
 
 @query
 def feature_importance(spark, d):
-    return forecast.feature_importance(forecast.fit(_split(spark, d), **BOOSTING), spark)
+    return forecast.feature_importance(forecast.fit(_split(spark, d)), spark)
 
 
 def _forecast(spark, d, **options):
     split = _split(spark, d)
-    detector = anomaly.detect(split, ["product_category", "date"], trees=50)[1]
-    model = forecast.fit(split, **BOOSTING)
+    detector = anomaly.detect(split, ["product_category", "date"])[1]
+    model = forecast.fit(split)
     return forecast.forecast(split, model, detector=detector, **options)
 
 

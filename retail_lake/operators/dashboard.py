@@ -24,7 +24,7 @@ def totals(daily: DataFrame, month: int | None = None) -> DataFrame:
 
 
 def month_growth(monthly: DataFrame) -> DataFrame:
-    """Month-over-month growth in percent per category and over all; 0 where there is no earlier month.
+    """Growth in percent over the calendar month before, per category and over all; 0 without revenue in that month.
 
     Windows run over months, of which a category has a few hundred at most.
     """
@@ -36,8 +36,10 @@ def month_growth(monthly: DataFrame) -> DataFrame:
         F.when(F.col("_all") == 1, "(all)").otherwise(F.col("product_category")).alias("product_category"),
         "monthly_revenue",
     )
-    before = F.lag("monthly_revenue").over(Window.partitionBy("product_category").orderBy("year_month"))
-    return revenue.withColumn("previous_revenue", before).select(
+    month = F.substring("year_month", 1, 4).cast("int") * 12 + F.substring("year_month", 6, 2).cast("int")
+    before = Window.partitionBy("product_category").orderBy("_month").rangeBetween(-1, -1)
+    revenue = revenue.withColumn("_month", month)
+    return revenue.withColumn("previous_revenue", F.sum("monthly_revenue").over(before)).select(
         "year_month",
         "product_category",
         F.round("monthly_revenue", 2).alias("monthly_revenue"),

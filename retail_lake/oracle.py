@@ -220,7 +220,7 @@ found AS (
 
 def _bm25(k: int) -> str:
     return f"""{LIBRARY}, {_searches()}, parsed AS (
-  SELECT doc_id, category, list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM library),
+  SELECT doc_id, category, list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM library),
 sized AS (SELECT *, len(ws) AS n FROM parsed),
 corpus AS (SELECT count(*) AS docs, avg(n) AS mean_n FROM sized),
 terms AS (SELECT query_id, wanted, unnest(string_split(words, ' ')) AS term FROM searches),
@@ -363,7 +363,8 @@ def statements() -> dict[str, str]:
   SELECT year_month, CASE WHEN grouping(product_category) = 1 THEN '(all)' ELSE product_category END AS product_category,
          sum(monthly_revenue) AS monthly_revenue
   FROM monthly GROUP BY GROUPING SETS ((year_month), (year_month, product_category))),
-p AS (SELECT *, lag(monthly_revenue) OVER (PARTITION BY product_category ORDER BY year_month) AS previous_revenue FROM m)
+p AS (SELECT m.*, e.monthly_revenue AS previous_revenue FROM m LEFT JOIN m e ON e.product_category = m.product_category
+  AND strptime(e.year_month || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH = strptime(m.year_month || '-01', '%Y-%m-%d'))
 SELECT year_month, product_category, {rx('monthly_revenue', 'monthly_revenue', 2)}, {rx('previous_revenue', 'previous_revenue', 2)},
        {rx('coalesce((monthly_revenue - previous_revenue) / nullif(previous_revenue, 0), 0) * 100', 'growth_percent')} FROM p"""
     totals = """SELECT CASE WHEN grouping(product_category) = 1 THEN '(all)' ELSE product_category END AS product_category,

@@ -95,6 +95,6 @@ def append_jdbc(rows: DataFrame, url: str, table: str, batch_size: int = 10_000,
     A task that dies after its commit is run again and would repeat its rows, so point this
     at a load table keyed by run and merge from there.
     """
-    rows.coalesce(connections).write.format("jdbc").mode("append").options(
+    rows.repartition(connections).write.format("jdbc").mode("append").options(
         url=url, dbtable=table, batchsize=batch_size
     ).save()

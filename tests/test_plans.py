@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from retail_lake.catalog import present
 from retail_lake.operators import features, gold, metrics, quality, silver
-from retail_lake.sources.star_schema import SPREAD_AT_MOST, raw_transactions, spread, transactions
+from retail_lake.sources.star_schema import raw_transactions, transactions
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -50,10 +51,9 @@ def test_grid_of_all_categories_is_not_gathered(stored):
     assert "collect_set" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_only_small_scans_are_spread(spark):
-    wide = spark.range(0, 1000, 1, SPREAD_AT_MOST)
-    assert spread(wide, ["id"]) is wide
-    assert spread(spark.range(0, 1000, 1, 1), ["id"]).rdd.getNumPartitions() > 1
+def test_shown_numbers_do_not_saturate(spark):
+    shown = present(spark.sql("SELECT 1e13D AS a, -1e13D AS b, -1.5e-6D AS c, 1234567.1234567D AS d")).first()
+    assert tuple(shown) == (1e13, -1e13, -1e-6, 1234567.123457)
 
 
 def test_hot_customer_and_category(spark):
