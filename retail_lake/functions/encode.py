@@ -6,6 +6,12 @@ from pyspark.sql import functions as F
 from retail_lake.schema import CATEGORIES, CATEGORY_CODES
 
 
+def whole_number(column: Column) -> Column:
+    """Text or number as an int: ``2`` and ``2.0`` are 2; a fraction, other text and what is out of range are null."""
+    exact = column.try_cast("decimal(38,6)")
+    return F.when(exact == F.floor(exact), exact).try_cast("int")
+
+
 def category_code(category: str | Column, codes: dict[str, int] = CATEGORY_CODES, unknown_code: int = -1) -> Column:
     c = F.col(category) if isinstance(category, str) else category
     pairs = [F.lit(v) for pair in codes.items() for v in pair]

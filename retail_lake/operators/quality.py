@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retail_lake.functions.encode import money_mean
-from retail_lake.schema import CATEGORIES, FORECAST_FEATURES, NUMERIC_COLUMNS, RAW_COLUMNS, missing_columns
+from retail_lake.functions.encode import money_mean, whole_number
+from retail_lake.schema import CATEGORIES, FORECAST_FEATURES, INTEGER_COLUMNS, NUMERIC_COLUMNS, RAW_COLUMNS, missing_columns
 
 
 def long_rows(df: DataFrame, rows: list[dict[str, Column]]) -> DataFrame:
@@ -24,8 +24,9 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def not_numeric(column: str) -> Column:
-    """True where a value does not read as a number; nulls count as such."""
-    return _q(column).try_cast("double").isNull()
+    """True where a value does not read as a number of its column's kind; nulls count as such."""
+    value = whole_number(_q(column)) if column in INTEGER_COLUMNS else _q(column).try_cast("double")
+    return value.isNull()
 
 
 def non_numeric_counts(df: DataFrame, columns: list[str] = NUMERIC_COLUMNS) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retail_lake.functions.dates import silver_calendar
-from retail_lake.functions.encode import category_code, standard_gender
+from retail_lake.functions.encode import category_code, standard_gender, whole_number
 from retail_lake.schema import MONEY, snake_case
 from retail_lake.sources.csv_files import check_headers
 
@@ -26,6 +26,8 @@ def typed(raw: DataFrame) -> DataFrame:
         short = snake_case(name)
         if short == "date":
             column = F.try_to_date(F.col(f"`{name}`").cast("string"), "yyyy-MM-dd")
+        elif types.get(short) == "int":
+            column = whole_number(F.col(f"`{name}`"))
         else:
             column = F.col(f"`{name}`").try_cast(types.get(short, "string"))
         columns.append(column.alias(short))

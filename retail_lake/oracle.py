@@ -17,6 +17,15 @@ def r(*names: str) -> str:
     return ", ".join(rx(n, n) for n in names)
 
 
+def whole(column: str) -> str:
+    exact = f'TRY_CAST("{column}" AS DECIMAL(38, 6))'
+    return f"CASE WHEN {exact} % 1 = 0 THEN CAST({exact} AS INTEGER) END"
+
+
+def no_number(column: str) -> str:
+    return f"({whole(column)}) IS NULL" if column in ("Age", "Quantity") else f'TRY_CAST("{column}" AS DOUBLE) IS NULL'
+
+
 def day(expr: str, name: str | None = None) -> str:
     return f"strftime({expr}, '%Y-%m-%d') AS {name or expr}"
 
@@ -47,9 +56,11 @@ RAW = f"""{SALES}, raw AS (
          CASE WHEN o_custkey % 20 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'Female'
               WHEN o_custkey % 3 = 0 THEN 'n/a' ELSE 'Male' END AS "Gender",
          CASE WHEN l_orderkey % 83 = 1 THEN 'abc' WHEN l_orderkey % 79 = 1 THEN '0'
+              WHEN l_orderkey % 71 = 1 THEN '30.0'
               WHEN l_orderkey % 73 <> 1 THEN CAST(18 + o_custkey % 47 AS VARCHAR) END AS "Age",
          CASE WHEN l_partkey % 71 = 1 THEN 'Furniture' WHEN l_partkey % 67 <> 1 THEN {CATEGORY} END AS "Product Category",
          CASE WHEN l_orderkey % 61 = 1 THEN '0' WHEN l_orderkey % 59 = 1 THEN '-2'
+              WHEN l_orderkey % 43 = 1 THEN '2.5'
               ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS "Quantity",
          floor(l_extendedprice * 100 / l_quantity) / 100 AS "Price per Unit",
          CASE WHEN l_orderkey % 53 = 1 THEN '-5'
@@ -60,8 +71,8 @@ TYPED = f"""{RAW}, typed AS (
   SELECT "Transaction ID" AS transaction_id,
          CAST(try_strptime("Date", '%Y-%m-%d') AS DATE) AS date,
          "Customer ID" AS customer_id, "Gender" AS gender,
-         TRY_CAST("Age" AS INTEGER) AS age, "Product Category" AS product_category,
-         TRY_CAST("Quantity" AS INTEGER) AS quantity, "Price per Unit" AS price_per_unit,
+         {whole('Age')} AS age, "Product Category" AS product_category,
+         {whole('Quantity')} AS quantity, "Price per Unit" AS price_per_unit,
          TRY_CAST("Total Amount" AS DECIMAL(18, 2)) AS total_amount
   FROM raw)"""
 
@@ -256,7 +267,7 @@ def _null_rows(counts: dict[str, str], value: str) -> str:
 
 def _report() -> str:
     checks = [("error", "unparsable date", "Date", """"Date" IS NOT NULL AND try_strptime("Date", '%Y-%m-%d') IS NULL""")]
-    checks += [("warning", "non-numeric", c, f'TRY_CAST("{c}" AS DOUBLE) IS NULL') for c in NUMERIC_COLUMNS]
+    checks += [("warning", "non-numeric", c, no_number(c)) for c in NUMERIC_COLUMNS]
     known = ", ".join(f"'{c}'" for c in CATEGORIES)
     checks += [("warning", "unknown category", "Product Category", f'coalesce("Product Category" NOT IN ({known}), true)')]
     checks += [("warning", "null", c, f'"{c}" IS NULL') for c in RAW_COLUMNS]
@@ -433,7 +444,7 @@ FROM typed GROUP BY 1""",
 WHERE coalesce("Product Category" NOT IN ({known}), true) GROUP BY 1""",
         "distinct_categories": f"WITH {TX} SELECT DISTINCT product_category FROM tx",
         "null_counts": f"WITH {RAW} " + _null_rows({c: f'"{c}" IS NULL' for c in RAW_COLUMNS}, "nulls"),
-        "non_numeric_counts": f"WITH {RAW} " + _null_rows({c: f'TRY_CAST("{c}" AS DOUBLE) IS NULL' for c in NUMERIC_COLUMNS}, "non_numeric"),
+        "non_numeric_counts": f"WITH {RAW} " + _null_rows({c: no_number(c) for c in NUMERIC_COLUMNS}, "non_numeric"),
         "validation_report": _report(),
         "ingest_summary": f"""WITH {TYPED} SELECT CASE WHEN grouping(product_category) = 1 THEN '(all)' ELSE product_category END AS product_category,
        count(*) AS rows, {day('min(date)', 'first_date')}, {day('max(date)', 'last_date')}

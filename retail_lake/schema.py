@@ -17,7 +17,9 @@ RAW_COLUMNS = [
     "Price per Unit",
     "Total Amount",
 ]
+# Raw columns that hold numbers, and those that hold whole ones.
 NUMERIC_COLUMNS = ["Age", "Quantity", "Price per Unit", "Total Amount"]
+INTEGER_COLUMNS = ["Age", "Quantity"]
 
 # Known categories with their ordinal codes.
 CATEGORY_CODES = {"Beauty": 0, "Clothing": 1, "Electronics": 2}

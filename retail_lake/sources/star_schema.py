@@ -61,9 +61,9 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(buyer % 20 == 0, F.lit(None)).when(buyer % 2 == 0, "Female").when(buyer % 3 == 0, "n/a").otherwise(
             "Male"
         ),
-        F.when(order % 83 == 1, "abc").when(order % 79 == 1, "0").when(order % 73 != 1, (18 + buyer % 47).cast("string")),
+        F.when(order % 83 == 1, "abc").when(order % 79 == 1, "0").when(order % 71 == 1, "30.0").when(order % 73 != 1, (18 + buyer % 47).cast("string")),
         F.when(part % 71 == 1, "Furniture").when(part % 67 != 1, _category()),
-        F.when(order % 61 == 1, "0").when(order % 59 == 1, "-2").otherwise(quantity.cast("string")),
+        F.when(order % 61 == 1, "0").when(order % 59 == 1, "-2").when(order % 43 == 1, "2.5").otherwise(quantity.cast("string")),
         _price().cast("string"),
         F.when(order % 53 == 1, "-5").when(order % 47 != 1, amount.cast("string")),
     ]

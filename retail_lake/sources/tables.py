@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retail_lake.functions.encode import whole_number
 from retail_lake.schema import snake_case
 
 # Serving tables, their columns and types. The last column is filled at load time.
@@ -53,15 +54,23 @@ def _fit(df: DataFrame, table: str) -> DataFrame:
     columns = [c.strip().split(" ") for c in SERVING_TABLES[table].split(",")]
     *data, (stamp, _) = columns
     return df.select(
-        *[F.col(name).try_cast(kind).alias(name) for name, kind in data], F.current_timestamp().alias(stamp)
+        *[
+            (whole_number(F.col(name)) if kind.lower() == "int" else F.col(name).try_cast(kind)).alias(name)
+            for name, kind in data
+        ],
+        F.current_timestamp().alias(stamp)
     )
 
 
 def transactions_rows(df: DataFrame) -> DataFrame:
-    """Raw or silver transactions in the shape of ``sales_transactions``; absent numbers load as 0."""
+    """Raw or silver transactions in the shape of ``sales_transactions``.
+
+    Absent numbers load as 0; text that is no number of the column's kind loads as null.
+    """
     named = df.toDF(*[snake_case(c) for c in df.columns])
-    fitted = _fit(named, "sales_transactions")
-    return fitted.na.fill(0, ["age", "quantity", "price_per_unit", "total_amount"]).na.fill(
+    numbers = ["age", "quantity", "price_per_unit", "total_amount"]
+    present = {c: F.coalesce(F.col(c), F.lit("0").cast(named.schema[c].dataType)) for c in numbers}
+    return _fit(named.withColumns(present), "sales_transactions").na.fill(
         "", ["transaction_id", "customer_id", "gender", "product_category"]
     )
 
