@@ -23,6 +23,7 @@ SLOTS = 1 << 17
 GRAMS = (1, 2, 3, 4)
 #: Documents of each language that the model is fitted on: those with the least hash of doc_id.
 SAMPLE_DOCS = 2000
+SAMPLE_PARTS = 256
 SWITCH = 16.0
 #: Least share of a language's words in a script for the script to be one of its own.
 SCRIPT_SHARE = 0.001
@@ -101,10 +102,17 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     the driver receives at most slots x languages of them.  Without labelled rows the model
     knows no language and every prediction is ``und``.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    place = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # first within parts of a language, as one language may hold most rows
+    part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(SAMPLE_PARTS))
+    in_part = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*place))
+    order = Window.partitionBy("lang").orderBy(*place)
     chosen = (
         docs.select("doc_id", F.col("lang").cast("string").alias("lang"))
         .where("doc_id IS NOT NULL AND lang IS NOT NULL")
+        .withColumn("part", part)
+        .withColumn("rank", in_part)
+        .where(F.col("rank") <= sample_docs)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= sample_docs)
         .select("doc_id", F.col("lang").alias("label"))
