@@ -162,4 +162,4 @@ def test_words_are_counted_without_arrays(spark):
     texts = ["", "...", "the", "The the, THE; then-the", "é the 2x", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", retrieval.spaced_words("t"))
     got = df.select(retrieval.word_count("w").alias("n"), retrieval.occurrences("w", "the").alias("the")).collect()
-    assert [tuple(r) for r in got] == [(0, 0), (0, 0), (1, 1), (5, 4), (2, 1), (None, None)]
+    assert [tuple(r) for r in got] == [(0, 0), (0, 0), (1, 1), (5, 4), (3, 1), (None, None)]
