@@ -15,15 +15,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retail_lake.llm.common import mixed, rows
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SLOTS = 1 << 17
 GRAMS = (1, 2, 3, 4)
-#: Documents of each language that the model is fitted on: those with the least hash of doc_id.
-SAMPLE_DOCS = 2000
+#: The model is fitted on at most SAMPLE_PARTS x PART_DOCS = 2,048 documents of each language.
 SAMPLE_PARTS = 256
+PART_DOCS = 8
 SWITCH = 16.0
 #: Least share of a language's words in a script for the script to be one of its own.
 SCRIPT_SHARE = 0.001
@@ -95,30 +96,27 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on at most ``sample_docs`` documents per language of ``docs`` (``doc_id, text, lang``), whole texts.
+def fit(docs: DataFrame, part_docs: int = PART_DOCS) -> Model:
+    """Fit on a bounded sample of the labelled rows of ``docs`` (``doc_id, text, lang``), whole texts.
 
-    The sample is the documents with the least hash of doc_id.  Counts are added up by Spark;
-    the driver receives at most slots x languages of them.  Without labelled rows the model
-    knows no language and every prediction is ``und``.
+    A hash of doc_id deals each language's documents to ``SAMPLE_PARTS`` parts, and the
+    ``part_docs`` documents with the least other hash of each part are taken, so that each task
+    drops the rest before anything is sent.  Counts are added up by Spark; the driver receives at
+    most slots x languages of them.  Without labelled rows the model knows no language and every
+    prediction is ``und``.
     """
-    place = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # first within parts of a language, as one language may hold most rows
     part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(SAMPLE_PARTS))
-    in_part = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*place))
-    order = Window.partitionBy("lang").orderBy(*place)
+    rank = F.row_number().over(Window.partitionBy("label", "part").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = (
-        docs.select("doc_id", F.col("lang").cast("string").alias("lang"))
-        .where("doc_id IS NOT NULL AND lang IS NOT NULL")
+        docs.select("doc_id", F.col("lang").cast("string").alias("label"))
+        .where("doc_id IS NOT NULL AND label IS NOT NULL")
         .withColumn("part", part)
-        .withColumn("rank", in_part)
-        .where(F.col("rank") <= sample_docs)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= sample_docs)
-        .select("doc_id", F.col("lang").alias("label"))
+        .withColumn("rank", rank)
+        .where(F.col("rank") <= part_docs)
+        .select("doc_id", "label")
         .distinct()
     )
-    # at most sample_docs rows a language
+    # at most SAMPLE_PARTS x part_docs rows a language
     sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where("lang = label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,8 +289,10 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, carry: bool =
                     yield rows(pa.schema(fields), found)
 
     wanted = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    out = "doc_id long, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
+    told = "doc_id long, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
     if carry:
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-        return docs.select(*wanted, whole).mapInArrow(label, f"{out}, row {docs.schema.simpleString()}")
-    return docs.select(*wanted).mapInArrow(label, out)
+        carried = docs.select(*wanted, whole)
+        schema = T.StructType([*T.StructType.fromDDL(told).fields, carried.schema["row"]])
+        return carried.mapInArrow(label, schema)
+    return docs.select(*wanted).mapInArrow(label, told)
