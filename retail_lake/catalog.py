@@ -148,6 +148,15 @@ def ingest_files(spark, d):
     return _by_category(rows)
 
 
+@query
+def upload_reports(spark, d):
+    """Findings of all reports added up, as the number of files is Spark's."""
+    reports = quality.upload_reports(spark, _raw_csv(spark, d))
+    finding = reports.select(F.explode(F.concat("errors", "warnings")).alias("found"))
+    parts = F.split("found", ": ")
+    return finding.groupBy(parts[0].alias("finding")).agg(F.sum(parts[1].cast("long")).alias("rows"))
+
+
 @query
 def bronze_copy(spark, d):
     landed = csv_files.copy_to_bronze(spark, _raw_csv(spark, d), work_path(spark, "bronze"))

@@ -1,10 +1,11 @@
 """Data checks: ingest validation, silver quality numbers and expectations on features."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retail_lake.functions.encode import money_mean, whole_number
-from retail_lake.schema import CATEGORIES, FORECAST_FEATURES, INTEGER_COLUMNS, NUMERIC_COLUMNS, RAW_COLUMNS, missing_columns
+from retail_lake.schema import CATEGORIES, CORRUPT_COLUMN, FORECAST_FEATURES, INTEGER_COLUMNS, NUMERIC_COLUMNS, RAW_COLUMNS, missing_columns
+from retail_lake.sources.csv_files import bind, headers, lines
 
 
 def long_rows(df: DataFrame, rows: list[dict[str, Column]]) -> DataFrame:
@@ -75,6 +76,62 @@ def validation_report(raw: DataFrame) -> DataFrame:
     return long_rows(counted, rows).where("n > 0")
 
 
+def upload_reports(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file of an upload folder: ``file_name, status, errors, warnings, rows, first_date, last_date, categories``.
+
+    A file is rejected that is no ``.csv``, has no header, lacks columns, or holds malformed rows
+    or unparsable dates; other findings are warnings with their row counts.  ``categories`` lists
+    the known ones found.  All files are judged together.  A file of no bytes has no row, as
+    Spark's file sources pass over it.
+    """
+    # names only: the content column is not read
+    listed = spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name")
+    )
+    found = lines(spark.read, path)
+    absent = F.array_sort(F.array_except(F.array(*map(F.lit, RAW_COLUMNS)), "names"))
+    known = headers(found)
+    heads = known.select("file_path", absent.alias("absent"))
+    fits = F.col(CORRUPT_COLUMN).isNull()
+    bad_date = _q("Date").isNotNull() & F.try_to_date(_q("Date"), "yyyy-MM-dd").isNull()
+    errors = [("malformed row", ~fits), ("unparsable date", fits & bad_date)]
+    warnings = [(f"non-numeric in {c}", fits & _q(c).isNotNull() & not_numeric(c)) for c in NUMERIC_COLUMNS]
+    warnings += [("unknown category", fits & _q("Product Category").isNotNull() & is_unknown("Product Category"))]
+    warnings += [(f"null in {c}", fits & _q(c).isNull()) for c in RAW_COLUMNS]
+    date = F.try_to_date(_q("Date"), "yyyy-MM-dd")
+    counted = bind(found, known, RAW_COLUMNS).groupBy("file_path").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min(date).alias("first_date"),
+        F.max(date).alias("last_date"),
+        F.array_sort(F.collect_set(F.when(_q("Product Category").isin(CATEGORIES), _q("Product Category")))).alias("categories"),
+        *[F.count_if(test).alias(f"n{i}") for i, (_, test) in enumerate(errors + warnings)],
+    )
+
+    def told(checks: list[tuple[str, Column]], first: int) -> Column:
+        texts = [F.when(F.col(f"n{i}") > 0, F.concat(F.lit(f"{name}: "), F.col(f"n{i}"))) for i, (name, _) in enumerate(checks, first)]
+        return F.array_compact(F.array(*texts))
+
+    none = F.array().cast("array<string>")
+    problems = (
+        F.when(~F.col("file_name").endswith(".csv"), F.array(F.lit("not a .csv file")))
+        .when(F.col("absent").isNull(), F.array(F.lit("no header")))
+        .when(F.size("absent") > 0, F.transform("absent", lambda c: F.concat(F.lit("missing column: "), c)))
+        .otherwise(told(errors, 0))
+    )
+    judged = listed.join(heads, "file_path", "left").join(counted, "file_path", "left")
+    whole = F.size("absent") == 0
+    return judged.select(
+        "file_name",
+        F.when(F.size(problems) == 0, "accepted").otherwise("rejected").alias("status"),
+        problems.alias("errors"),
+        F.when(whole, told(warnings, len(errors))).otherwise(none).alias("warnings"),
+        F.coalesce("rows", F.lit(0)).alias("rows"),
+        "first_date",
+        "last_date",
+        F.coalesce("categories", none).alias("categories"),
+    )
+
+
 def is_valid(report: DataFrame) -> DataFrame:
     """One row: whether the report holds no error."""
     return report.agg((F.count_if(F.col("severity") == "error") == 0).cast("int").alias("valid"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from retail_lake.functions.dates import silver_calendar
 from retail_lake.functions.encode import category_code, standard_gender, whole_number
-from retail_lake.schema import MONEY, snake_case
+from retail_lake.schema import CORRUPT_COLUMN, MONEY, snake_case
 from retail_lake.sources.csv_files import check_headers
 
 # Columns a transaction must have, and those that must be above zero.
@@ -54,8 +54,8 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def silver(raw: DataFrame) -> DataFrame:
-    """The silver table from raw text transactions."""
-    return with_derived(clean(typed(raw)))
+    """The silver table from raw text transactions; lines kept in the corrupt column have no values and go."""
+    return with_derived(clean(typed(raw.drop(CORRUPT_COLUMN))))
 
 
 def with_derived(df: DataFrame) -> DataFrame:

@@ -265,6 +265,16 @@ def _null_rows(counts: dict[str, str], value: str) -> str:
     )
 
 
+def _upload_findings() -> str:
+    tests = {"unparsable date": '"Date" IS NOT NULL AND try_strptime("Date", \'%Y-%m-%d\') IS NULL'}
+    tests |= {f"non-numeric in {c}": f'"{c}" IS NOT NULL AND {no_number(c)}' for c in NUMERIC_COLUMNS}
+    known = ", ".join(f"'{c}'" for c in CATEGORIES)
+    tests["unknown category"] = f'"Product Category" NOT IN ({known})'
+    tests |= {f"null in {c}": f'"{c}" IS NULL' for c in RAW_COLUMNS}
+    parts = [f"SELECT '{name}' AS finding, count(*) AS rows FROM raw WHERE {test} HAVING count(*) > 0" for name, test in tests.items()]
+    return f"WITH {RAW} " + " UNION ALL ".join(parts)
+
+
 def _report() -> str:
     checks = [("error", "unparsable date", "Date", """"Date" IS NOT NULL AND try_strptime("Date", '%Y-%m-%d') IS NULL""")]
     checks += [("warning", "non-numeric", c, no_number(c)) for c in NUMERIC_COLUMNS]
@@ -446,6 +456,7 @@ WHERE coalesce("Product Category" NOT IN ({known}), true) GROUP BY 1""",
         "null_counts": f"WITH {RAW} " + _null_rows({c: f'"{c}" IS NULL' for c in RAW_COLUMNS}, "nulls"),
         "non_numeric_counts": f"WITH {RAW} " + _null_rows({c: no_number(c) for c in NUMERIC_COLUMNS}, "non_numeric"),
         "validation_report": _report(),
+        "upload_reports": _upload_findings(),
         "ingest_summary": f"""WITH {TYPED} SELECT CASE WHEN grouping(product_category) = 1 THEN '(all)' ELSE product_category END AS product_category,
        count(*) AS rows, {day('min(date)', 'first_date')}, {day('max(date)', 'last_date')}
 FROM typed GROUP BY GROUPING SETS ((), (product_category))""",

@@ -1,6 +1,10 @@
-"""CSV readers and writers for raw transactions."""
+"""CSV readers and writers for raw transactions.
 
-from pyspark.sql import DataFrame, SparkSession
+Every reader of raw files binds values by the header of the file they stand in, so files may order
+their columns freely, and keeps the text of each line that does not fit in the corrupt column.
+"""
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -8,33 +12,119 @@ from retail_lake.schema import (
     CORRUPT_COLUMN,
     RAW_COLUMNS,
     RAW_SCHEMA_CHECKED,
-    clean_header,
     missing_columns,
     normalise_headers,
 )
+from retail_lake.staging import stage
+
+#: A field behind its comma: in quotes, with quotes inside doubled, or bare.
+FIELD = r',("[^"]*+(?:""[^"]*+)*+"|[^",][^,]*+|)'
+#: What a line is read with; the file and the place of its block in it.
+LINE_COLUMNS = ["value", "file_path", "file_name", "block_start"]
+
+
+def lines(reader, path: str) -> DataFrame:
+    """The lines of the CSV files of a folder, by ``spark.read`` or ``spark.readStream``."""
+    return reader.format("text").option("pathGlobFilter", "*.csv").load(path).select(
+        F.regexp_replace("value", "^\ufeff", "").alias("value"),
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+    )
+
+
+def _unquoted(field: Column) -> Column:
+    inner = F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))
+    return F.nullif(F.when(field.startswith('"'), inner).otherwise(field), F.lit(""))
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Read files sharing one header as text columns named by that header.
+def split_line(line: Column) -> Column:
+    """The fields of a line, empty ones as null; null where quotes are not closed or stand inside a quoted field."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(FIELD), F.lit(1))
+    return F.when(F.array_join(found, ",") == line, F.transform(found, _unquoted))
 
-    Columns are bound by name, so files may order them freely as long as they agree;
-    a file whose header differs fails the read instead of shifting its values.
+
+def headers(found: DataFrame) -> DataFrame:
+    """``file_path, file_name, header, names`` of each file: its first line that is not blank, and its cleaned fields.
+
+    Takes one pass over the lines.  The result is staged, so that its size is known when lines
+    are joined to it: a small one is broadcast and the lines stay where they are, a large one
+    is not, and adaptive joins split a large file.
     """
-    raw = spark.read.csv(path, header=True, enforceSchema=False, pathGlobFilter="*.csv", escape='"')
-    return normalise_headers(raw)
+    first = (
+        found.where((F.col("block_start") == 0) & (F.trim("value") != ""))
+        .withColumn("place", F.monotonically_increasing_id())
+        .groupBy("file_path", "file_name")
+        .agg(F.min_by("value", "place").alias("header"))
+    )
+    # fixed rule of the headers: blanks and markdown stars around a name go
+    clean = lambda name: F.regexp_replace(name, r"^[\s*]+|[\s*]+$", "")
+    return stage(first.withColumn("names", F.coalesce(F.transform(split_line(F.col("header")), clean), F.array().cast("array<string>"))))
 
 
-def read_with_schema(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA_CHECKED) -> DataFrame:
-    """Read with a fixed schema; rows that do not fit keep their text in the corrupt column."""
-    return spark.read.csv(
-        path,
-        schema=schema,
-        header=True,
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord=CORRUPT_COLUMN,
-        pathGlobFilter="*.csv",
-        escape='"',
+def bind(found: DataFrame, heads: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``lines`` by the names in their file's header (``heads``, from ``headers``).
+
+    Returns ``columns`` as text, the corrupt column, ``file_path``, ``file_name`` and ``lacking``,
+    those of ``columns`` that the file has not.  A line with other than the header's number of
+    fields, or with quotes out of place, is kept whole in the corrupt column and has nulls
+    elsewhere.  A line equal to its file's header is a header again; blank lines are no rows.
+    """
+    known = heads.select(
+        "file_path",
+        "header",
+        "names",
+        F.array(*[F.array_position("names", c).cast("int") for c in columns]).alias("places"),
+        F.filter(F.array(*map(F.lit, columns)), lambda c: ~F.coalesce(F.array_contains("names", c), F.lit(False))).alias("lacking"),
     )
+    rows = (
+        found.where(F.trim("value") != "")
+        .join(known, "file_path", "left")
+        .where(~F.col("value").eqNullSafe(F.col("header")))
+        .withColumn("fields", split_line(F.col("value")))
+    )
+    fits = F.coalesce(F.size("fields") == F.size("names"), F.lit(False))
+    place = lambda i: F.get("places", F.lit(i))
+    values = {c: F.when(fits & (place(i) > 0), F.get("fields", place(i) - 1)) for i, c in enumerate(columns)}
+    corrupt = F.when(~fits, F.col("value"))
+    if CORRUPT_COLUMN in values:
+        corrupt = F.coalesce(corrupt, values.pop(CORRUPT_COLUMN))
+    return rows.select(
+        *[v.alias(c) for c, v in values.items()], corrupt.alias(CORRUPT_COLUMN), "file_path", "file_name", "lacking"
+    )
+
+
+def read_raw(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All columns of all files as text, by name, and the corrupt column; a column that a file lacks is null there.
+
+    ``multi_line`` reads
+    values with line breaks in quotes: then all files need one header, or the read fails, and
+    each file is read by one task.
+    """
+    if multi_line:
+        raw = spark.read.csv(path, header=True, enforceSchema=False, pathGlobFilter="*.csv", escape='"', multiLine=True)
+        return normalise_headers(raw).withColumn(CORRUPT_COLUMN, F.lit(None).cast("string"))
+    found = lines(spark.read, path)
+    heads = headers(found)
+    # as many rows as there are different column names
+    names = heads.select(F.explode("names").alias("name")).where("name <> ''").distinct().collect()
+    named = {r["name"] for r in names}
+    columns = [c for c in RAW_COLUMNS if c in named] + sorted(named - set(RAW_COLUMNS))
+    return bind(found, heads, columns).select(*[f"`{c}`" for c in columns if c != CORRUPT_COLUMN], CORRUPT_COLUMN)
+
+
+def read_with_schema(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA_CHECKED) -> DataFrame:
+    """Read the columns of a schema by name; rows that do not fit it keep their text in the corrupt column."""
+    wanted = [f for f in schema.fields if f.name != CORRUPT_COLUMN]
+    found = lines(spark.read, path)
+    rows = bind(found, headers(found), [f.name for f in wanted])
+    typed = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in wanted}
+    bad = F.lit(False)
+    for f in wanted:
+        bad = bad | (F.col(f"`{f.name}`").isNotNull() & typed[f.name].isNull())
+    whole = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in wanted]))
+    corrupt = F.coalesce(CORRUPT_COLUMN, F.when(bad, whole))
+    return rows.select(*[v.alias(c) for c, v in typed.items()], corrupt.alias(CORRUPT_COLUMN))
 
 
 def read_inferred(spark: SparkSession, path: str) -> DataFrame:
@@ -44,34 +134,17 @@ def read_inferred(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def list_csv(spark: SparkSession, path: str) -> list[str]:
-    """Paths of the CSV files in an upload folder; only names are listed, no content is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path")
-    return sorted(r["path"] for r in files.collect())
+def read_uploads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the uploads that have all columns, and ``file_name, lacking`` of the others.
 
-
-def read_uploads(spark: SparkSession, path: str) -> tuple[DataFrame | None, dict[str, list[str]]]:
-    """Read the uploads of a folder by header name.
-
-    Returns the rows of all accepted files with their ``file_name``, and the missing
-    columns of each rejected file.  Files are grouped by header, so there is one read
-    per distinct header; the only per-file work on the driver is the header line.
+    The rows are ``RAW_COLUMNS``, the corrupt column and ``file_name``.  All files are read together.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for file in list_csv(spark, path):
-        header = tuple(spark.read.csv(file, header=True).columns)
-        by_header.setdefault(header, []).append(file)
-
-    accepted, rejected = None, {}
-    for header, files in sorted(by_header.items()):
-        if lacking := sorted(set(RAW_COLUMNS) - {clean_header(c) for c in header}):
-            rejected.update(dict.fromkeys(files, lacking))
-            continue
-        rows = spark.read.csv(files, header=True, escape='"')
-        rows = rows.select("*", F.col("_metadata.file_name").alias("file_name"))
-        rows = normalise_headers(rows).select(*RAW_COLUMNS, "file_name")
-        accepted = rows if accepted is None else accepted.unionByName(rows)
-    return accepted, rejected
+    found = lines(spark.read, path)
+    heads = headers(found)
+    rows = bind(found, heads, RAW_COLUMNS).where(F.size("lacking") == 0)
+    lacking = F.array_sort(F.array_except(F.array(*map(F.lit, RAW_COLUMNS)), "names"))
+    judged = heads.select("file_name", lacking.alias("lacking"))
+    return rows.drop("lacking", "file_path"), judged.where(F.size("lacking") > 0)
 
 
 def check_headers(df: DataFrame) -> DataFrame:
@@ -81,12 +154,13 @@ def check_headers(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> str:
-    """Write a folder of CSV files with a header line each."""
-    df.write.mode("overwrite").csv(path, header=True, quoteAll=quote_all, escape='"')
+    """Write a folder of CSV files with a header line each; blanks around values stay."""
+    df.write.mode("overwrite").csv(
+        path, header=True, quoteAll=quote_all, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     return path
 
 
-def copy_to_bronze(spark: SparkSession, source: str, target: str) -> str:
-    """Land raw files unchanged in value, every field quoted."""
-    raw = spark.read.csv(source, header=True, enforceSchema=False, pathGlobFilter="*.csv", escape='"')
-    return write_csv(raw, target, quote_all=True)
+def copy_to_bronze(spark: SparkSession, source: str, target: str, multi_line: bool = False) -> str:
+    """Land raw files unchanged in value, every field quoted; lines that do not fit land in the corrupt column."""
+    return write_csv(read_raw(spark, source, multi_line), target, quote_all=True)

@@ -5,48 +5,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from retail_lake.operators.silver import drop_reason, typed
-from retail_lake.schema import CORRUPT_COLUMN, RAW_COLUMNS, RAW_SCHEMA_CHECKED
+from retail_lake.schema import CORRUPT_COLUMN, RAW_COLUMNS
+from retail_lake.sources.csv_files import bind, headers, lines
 
 OK = "ok"
 
 
 def read_arriving(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """CSV files as they appear, as text columns with the file each row came from."""
-    return (
-        spark.readStream.schema(RAW_SCHEMA_CHECKED)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
-        .option("pathGlobFilter", "*.csv")
-        .option("escape", '"')
-        .option("maxFilesPerTrigger", files_per_batch)
-        .csv(path)
-        .select("*", F.col("_metadata.file_name").alias("file_name"))
-    )
+    """Lines of CSV files as they appear, with the file each came from."""
+    return lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch), path)
 
 
-def classify(rows: DataFrame) -> DataFrame:
-    """Typed rows with the raw text of what failed and ``status``: ok or the reason for quarantine."""
+def classify(found: DataFrame) -> DataFrame:
+    """Typed rows of a batch of lines, with the raw text of what failed and ``status``: ok or the reason for quarantine.
+
+    Values are bound by the header of their file; files that lack a column are quarantined whole.
+    """
+    rows = bind(found, headers(found), RAW_COLUMNS)
     raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in RAW_COLUMNS]))
-    checked = typed(rows.withColumn("raw_row", F.coalesce(CORRUPT_COLUMN, raw)))
+    lacking = rows.withColumn("lacking", F.coalesce(F.size("lacking"), F.lit(0)) > 0)
+    checked = typed(lacking.withColumn("raw_row", F.coalesce(CORRUPT_COLUMN, raw)))
     malformed = F.when(F.col(CORRUPT_COLUMN).isNotNull(), "malformed row")
-    status = F.coalesce(malformed, drop_reason(), F.lit(OK))
-    return checked.withColumn("status", status).drop(CORRUPT_COLUMN)
+    absent = F.when(F.col("lacking") == "true", "missing column")
+    status = F.coalesce(absent, malformed, drop_reason(), F.lit(OK))
+    return checked.withColumn("status", status).drop(CORRUPT_COLUMN, "lacking", "file_path")
 
 
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, **options) -> StreamingQuery:
     """Process all files that arrived since the last run and stop.
 
     Every micro-batch writes its own folder and replaces it when run again, so a batch
-    repeated after a lost executor or driver leaves each row once.  One pass writes good
-    and quarantined rows, split by ``status``.
+    repeated after a lost executor or driver leaves each row once.  The headers of a batch's
+    files are read first; then one pass writes good and quarantined rows, split by ``status``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("status").parquet(f"{target}/batch_id={batch_id}")
+        classify(batch).write.mode("overwrite").partitionBy("status").parquet(f"{target}/batch_id={batch_id}")
 
     return (
-        classify(read_arriving(spark, source, **options))
+        read_arriving(spark, source, **options)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retail_lake import staging
-from retail_lake.operators import silver
+from retail_lake.operators import quality, silver
 from retail_lake.plans import medallion
 from retail_lake.schema import RAW_COLUMNS, RAW_SCHEMA
 from retail_lake.sources import csv_files, documents, tables
@@ -27,11 +27,36 @@ def test_read_by_header_name(spark, tmp_path):
     assert (row.transaction_id, row.age, row.product_category) == ("T001", 28, "Beauty")
 
 
-def test_a_differing_header_fails_the_bulk_read(spark, tmp_path):
-    put(tmp_path, "a.csv", HEADER, ROW1)
-    path = put(tmp_path, "b.csv", ",".join(reversed(RAW_COLUMNS)), ROW2)
-    with pytest.raises(Exception, match="(?i)header"):
-        csv_files.read_raw(spark, path).collect()
+def test_headers_bind_each_file(spark, tmp_path):
+    put(tmp_path, "a.csv", "\ufeff" + HEADER, ROW1, "", HEADER)
+    path = put(tmp_path, "b.csv", ",".join(reversed(RAW_COLUMNS)), ",".join(reversed(ROW2.split(","))))
+    rows = csv_files.read_raw(spark, path).orderBy("Transaction ID").collect()
+    assert [",".join(r[c] for c in RAW_COLUMNS) for r in rows] == [ROW1, ROW2]
+    fixed = csv_files.read_with_schema(spark, path).orderBy("Transaction ID").collect()
+    assert [(r["Age"], r["Quantity"], r["_corrupt"]) for r in fixed] == [("28", "2", None), ("35", "1", None)]
+
+
+def test_lines_that_do_not_fit_are_kept(spark, tmp_path):
+    bad = [ROW1 + ",tenth", '"T9,2023-01-01', 'T8,"a"b,C1,Male,30,Beauty,1,25,25']
+    path = put(tmp_path / "in", "a.csv", HEADER, *bad, ROW2)
+    rows = csv_files.read_raw(spark, path).collect()
+    assert {r["_corrupt"] for r in rows} == {*bad, None} and len(rows) == 4
+    assert silver.silver(csv_files.read_raw(spark, path)).count() == 1
+    landed = csv_files.copy_to_bronze(spark, path, str(tmp_path / "out"))
+    assert sorted(map(str, csv_files.read_raw(spark, landed).collect())) == sorted(map(str, rows))
+
+
+def test_blanks_and_further_columns_reach_bronze(spark, tmp_path):
+    path = put(tmp_path / "in", "a.csv", HEADER + ",Note", ROW1.replace("C001", "  C1  ") + ',"say ""hi"", twice"')
+    landed = csv_files.copy_to_bronze(spark, path, str(tmp_path / "out"))
+    row = csv_files.read_raw(spark, landed).first()
+    assert (row["Customer ID"], row["Note"]) == ("  C1  ", 'say "hi", twice')
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    path = put(tmp_path, "a.csv", HEADER, ROW1.replace("C001", '"C\n1"'))
+    assert csv_files.read_raw(spark, path, multi_line=True).first()["Customer ID"] == "C\n1"
+    assert csv_files.read_raw(spark, path).where("_corrupt IS NULL").count() == 0
 
 
 def test_uploads_are_judged_one_by_one(spark, tmp_path):
@@ -39,11 +64,28 @@ def test_uploads_are_judged_one_by_one(spark, tmp_path):
     put(tmp_path, "turned.csv", ",".join(reversed(RAW_COLUMNS)), ",".join(reversed(ROW2.split(","))))
     put(tmp_path, "empty.csv", HEADER)
     put(tmp_path, "wrong.csv", "Date,Sales", "2023-01-01,100")
+    put(tmp_path, "dates.csv", HEADER, ROW1.replace("2023-06-15", "15/06/2023"))
+    put(tmp_path, "odd.csv", HEADER, ROW1.replace("Beauty", "Toys").replace("28", "x"), ROW2)
+    put(tmp_path, "broken.csv", HEADER, ROW1, "a,b")
     path = put(tmp_path, "data.txt", "not a table")
+    (tmp_path / "nothing.csv").write_text("\n")
     rows, rejected = csv_files.read_uploads(spark, path)
-    assert {(r["Transaction ID"], r.file_name) for r in rows.collect()} == {("T001", "good.csv"), ("T002", "turned.csv")}
-    assert [f.rsplit("/", 1)[1] for f in rejected] == ["wrong.csv"]
-    assert set(next(iter(rejected.values()))) == set(RAW_COLUMNS) - {"Date"}
+    assert {(r["Transaction ID"], r.file_name) for r in rows.where("file_name in ('good.csv', 'turned.csv')").collect()} == {
+        ("T001", "good.csv"), ("T002", "turned.csv")
+    }
+    assert [(r.file_name, set(r.lacking)) for r in rejected.collect()] == [("wrong.csv", set(RAW_COLUMNS) - {"Date"})]
+    told = {r.file_name: r for r in quality.upload_reports(spark, path).collect()}
+    assert {f: r.status for f, r in told.items()} == {
+        "good.csv": "accepted", "turned.csv": "accepted", "empty.csv": "accepted", "odd.csv": "accepted",
+        "wrong.csv": "rejected", "dates.csv": "rejected", "broken.csv": "rejected", "data.txt": "rejected", "nothing.csv": "rejected",
+    }
+    assert told["dates.csv"].errors == ["unparsable date: 1"] and told["broken.csv"].errors == ["malformed row: 1"]
+    assert told["data.txt"].errors == ["not a .csv file"] and told["nothing.csv"].errors == ["no header"]
+    assert told["wrong.csv"].errors[0] == "missing column: Age" and len(told["wrong.csv"].errors) == 8
+    odd = told["odd.csv"]
+    assert odd.warnings == ["non-numeric in Age: 1", "unknown category: 1"] and odd.categories == ["Electronics"]
+    assert (odd.rows, str(odd.first_date), str(odd.last_date)) == (2, "2023-06-15", "2023-06-16")
+    assert (told["empty.csv"].rows, told["empty.csv"].first_date) == (0, None)
 
 
 def test_rows_that_do_not_fit_the_schema_are_marked(spark, tmp_path):
@@ -63,7 +105,7 @@ def test_bronze_copy_quotes_everything(spark, tmp_path):
 def test_quotes_and_commas_survive_a_round_trip(spark, tmp_path):
     df = spark.createDataFrame([('a "b", c', "d")], "x string, y string")
     path = csv_files.write_csv(df, str(tmp_path / "t"))
-    assert csv_files.read_raw(spark, path).collect() == df.collect()
+    assert csv_files.read_raw(spark, path).drop("_corrupt").collect() == df.collect()
 
 
 def test_documents_from_files(spark, tmp_path):
@@ -126,6 +168,17 @@ def test_stream_keeps_good_rows_and_quarantines_the_rest(spark, tmp_path):
     assert "gender" in ingest.accepted(spark, target).columns
 
 
+def test_stream_binds_by_name(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    swapped = [*RAW_COLUMNS]
+    swapped[4], swapped[6] = swapped[6], swapped[4]
+    put(source, "a.csv", ",".join(swapped), "T1,2023-06-15,C1,Male,2,Beauty,30,50,100")
+    put(source, "b.csv", "Date,Sales", "2023-01-01,100")
+    ingest.ingest_stream(spark, str(source), target, str(tmp_path / "p")).awaitTermination()
+    assert [(r.age, r.quantity) for r in ingest.accepted(spark, target).collect()] == [(30, 2)]
+    assert [(r.status, r.file_name) for r in ingest.quarantined(spark, target).collect()] == [("missing column", "b.csv")]
+
+
 def test_many_small_batches_lose_nothing(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "out")
     for i in range(5):
