@@ -262,7 +262,8 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, carry: bool =
                 if len(known) > Words.LIMIT:
                     known = Words(model)
                 # lower case may change the length of a few letters; spans are those of the lowered text then
-                texts = [(t or "").lower() for t in batch.column("text").to_pylist()]
+                own_text = batch.column("row").field("text") if carry else batch.column("text")
+                texts = [(t or "").lower() for t in own_text.to_pylist()]
                 ids = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in map(LETTERS.findall, texts)]
                 out = [(UNKNOWN, 0.0, [])] * len(texts)
                 if model.languages:
@@ -292,7 +293,8 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, carry: bool =
     told = "doc_id long, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
     if carry:
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-        carried = docs.select(*wanted, whole)
+        # the text travels once, within the row
+        carried = docs.select(wanted[0], whole)
         schema = T.StructType([*T.StructType.fromDDL(told).fields, carried.schema["row"]])
         return carried.mapInArrow(label, schema)
     return docs.select(*wanted).mapInArrow(label, told)
