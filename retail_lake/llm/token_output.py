@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from retail_lake.llm import common
 from retail_lake.llm.common import rows
-from retail_lake.llm.tokens import WORD_BPE, pieces_of, word_pieces
+from retail_lake.llm.tokens import WORD_BPE, forget_pieces, pieces_of, word_pieces
 
 END = 2
 ROW_GROUP_BYTES = 32 << 20
@@ -116,6 +116,7 @@ def token_index(spark: SparkSession, out: str) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+        forget_pieces()
         for batch in batches:
             lists = batch.column("ids")
             values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()

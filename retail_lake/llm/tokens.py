@@ -112,6 +112,11 @@ def pieces_of(path: str, split: Callable[[str], list[str]]) -> Pieces:
     return kept[key]
 
 
+def forget_pieces() -> None:
+    """Drop what this Python worker remembers; for tasks that follow the encoding in the same workers."""
+    vars(public_tokenizers).get("_known_pieces", {}).clear()
+
+
 def _blank_marks(pieces: Pieces, text: str, a: int, b: int) -> tuple[dict[int, int], int]:
     """Offsets in ``text[a:b]`` where a piece starts with the tokens before, and the number of all tokens."""
     parts = pieces.split(text[a:b])
