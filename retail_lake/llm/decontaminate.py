@@ -4,7 +4,8 @@ A window can only be similar to an item if they share a word shingle, so windows
 a shingle of an item occurs, at the place that shingle has in the item.  Each window's SimHash is
 looked up among the items' in an index of several blocks of bits: two fingerprints within the
 radius are within radius / blocks in at least one block, so the index misses none of them.
-What it returns is checked by the exact weighted similarity of the two bags of shingles.
+What it returns is checked by the exact Jaccard similarity of the two sets of shingles.  All shingles
+weigh the same, so an item's similarity to a window does not hang on the other items.
 """
 
 import re
@@ -31,23 +32,17 @@ def words_of(text: str) -> list[bytes]:
     return [w.encode() for w in TOKEN.findall(text.lower())]
 
 
-def simhash(hashes: np.ndarray, weights: np.ndarray) -> int:
-    """Each bit is the weighted majority of the shingles' bits."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-    votes = weights @ (2.0 * bits - 1.0)
+def simhash(own: np.ndarray) -> int:
+    """Each bit is the majority of the distinct shingles' bits."""
+    bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+    votes = 2 * bits.sum(axis=0, dtype=np.int64) - len(own)
     return int.from_bytes(np.packbits(votes > 0).tobytes(), "little")
 
 
-def similarity(a: dict[int, int], b: dict[int, int], weight) -> float:
-    """Weighted Jaccard similarity of two bags of shingles."""
-    least = sum(min(n, b[s]) * weight(s) for s, n in a.items() if s in b)
-    total = sum(n * weight(s) for s, n in a.items()) + sum(n * weight(s) for s, n in b.items()) - least
-    return least / total if total else 0.0
-
-
-def bag(hashes: np.ndarray) -> dict[int, int]:
-    values, counts = np.unique(hashes, return_counts=True)
-    return dict(zip(values.tolist(), counts.tolist(), strict=True))
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles, each sorted and without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 class HammingIndex:
@@ -76,13 +71,13 @@ class HammingIndex:
 
 
 class Items:
-    """The benchmark: shingles by hash with their places, fingerprints, and short items whole."""
+    """The benchmark: shingles by hash with their places, fingerprints, and short items whole; equal texts are held once."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], size: int, radius: int):
         table = WordHashes()
-        self.ids, self.counts, self.bags, self.short = [], [], [], {}
+        self.ids, self.counts, self.sets, self.short = [], [], [], {}
         anchors: list[tuple[int, int, int]] = []
-        found = []
+        place: dict[bytes, int] = {}
         for item_id, text in items:
             words = words_of(text or "")
             hashes = shingles(words, table, size)
@@ -90,26 +85,21 @@ class Items:
                 if words:
                     self.short.setdefault(int(hashes[0]), []).append(item_id)
                 continue
-            anchors += [(h, len(self.ids), k) for k, h in enumerate(hashes.tolist())]
-            found.append(hashes)
-            self.ids.append(item_id)
+            k = place.setdefault(b" ".join(words), len(self.ids))
+            if k < len(self.ids):
+                self.ids[k].add(item_id)
+                continue
+            anchors += [(h, k, j) for j, h in enumerate(hashes.tolist())]
+            self.ids.append({item_id})
             self.counts.append(len(words))
-            self.bags.append(bag(hashes))
-        self.holders: dict[int, int] = {}
-        for own in self.bags:
-            for s in own:
-                self.holders[s] = self.holders.get(s, 0) + 1
-        prints = [simhash(h, np.array([self.weight(s) for s in h.tolist()])) for h in found]
+            self.sets.append(np.unique(hashes))
+        prints = [simhash(own) for own in self.sets]
         self.index = HammingIndex(np.array(prints, np.uint64), radius)
         anchors.sort()
         self.anchor_hash = np.array([a[0] for a in anchors], np.uint64)
         self.anchor_size = np.array([self.counts[a[1]] for a in anchors], np.int64)
         self.anchor_at = np.array([a[2] for a in anchors], np.int64)
 
-    def weight(self, shingle: int) -> float:
-        """A shingle that several items share says less about each of them."""
-        return 1.0 / self.holders.get(shingle, 1)
-
     def matches(self, words: list[bytes], table: WordHashes, size: int, least: float) -> dict[int | None, tuple[float, int]]:
         """Items found in a text with their best similarity and the first word of that window."""
         hashes = shingles(words, table, size)
@@ -129,16 +119,14 @@ class Items:
         width = np.minimum(self.anchor_size[anchor], len(words))
         start = np.clip(np.repeat(at, many[at]) - self.anchor_at[anchor], 0, len(words) - width)
         for a, w in np.unique(np.stack([start, width], 1), axis=0).tolist():
-            own = hashes[a : a + w - size + 1]
-            one = simhash(own, np.array([self.weight(s) for s in own.tolist()]))
-            close = self.index.within(one)
-            if not len(close):
-                continue
-            window = bag(own)
-            for k in close.tolist():
-                alike = similarity(window, self.bags[k], self.weight)
-                if alike >= least and alike > best.get(self.ids[k], (0.0, 0))[0]:
-                    best[self.ids[k]] = (alike, a)
+            window = np.unique(hashes[a : a + w - size + 1])
+            for k in self.index.within(simhash(window)).tolist():
+                alike = similarity(window, self.sets[k])
+                if alike < least:
+                    continue
+                for item_id in self.ids[k]:
+                    if alike > best.get(item_id, (0.0, 0))[0]:
+                        best[item_id] = (alike, a)
         return best
 
 
@@ -147,8 +135,8 @@ def benchmark_matches(
 ) -> DataFrame:
     """``doc_id, item_id, similarity, start_word``: benchmark items that occur in documents.
 
-    One row per document row and item with the best window's similarity (weighted Jaccard of
-    5-word shingles, words in lower case without punctuation) of ``least`` or more.  Items of
+    One row per document row and item with the best window's similarity (Jaccard of the sets
+    of 5-word shingles, words in lower case without punctuation) of ``least`` or more.  Items of
     fewer than ``size`` words match only a text that consists of those words.  Null and empty
     texts on either side match nothing; null ids are carried as they are; repeated items with
     one id count once.  Columns beyond ``doc_id, text`` and ``item_id, text`` are not read.

@@ -267,6 +267,31 @@ def test_decontamination(spark, docs, empty):
     assert without_benchmark(frame, bench.limit(0)).count() == len(rows)
 
 
+def plain_similarity(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def test_decontamination_of_shared_items(spark):
+    passage = text_of(100, 90)
+    near, far = (" ".join("changed" if k in at else w for k, w in enumerate(passage.split())) for at in ((50,), (20, 70)))
+    held = {"near": (plain_similarity(passage, near), near), "far": (plain_similarity(passage, far), far)}
+    assert 0.75 <= held["far"][0] < held["near"][0] == pytest.approx(91 / 101)
+    frame = spark.createDataFrame([(k, f"{text_of(30, 91)} {t} {text_of(30, 92)}") for k, (_, t) in enumerate(held.values())], "doc_id long, text string")
+    items = {
+        "one": [(1, passage)], "rows": [(1, passage)] * 10, "ids": [(k, passage) for k in range(2)], "many": [(k, passage) for k in range(10)],
+        "template": [(k, f"{passage} {text_of(6, 200 + k)}") for k in range(10)],
+    }
+    for name, bench in items.items():
+        found = benchmark_matches(frame, spark.createDataFrame(bench, "item_id long, text string")).collect()
+        if name == "template":
+            assert {r.item_id for r in found if r.doc_id == 0} == set(range(10))
+            continue
+        assert len(found) == 2 * len({i for i, _ in bench})
+        for r in found:
+            assert r.similarity == pytest.approx(list(held.values())[r.doc_id][0])
+
+
 def test_hamming_index_misses_nothing():
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
