@@ -1,6 +1,7 @@
 """Secrets in texts: fixed patterns, and strings that a primed compressor finds new.
 
-A candidate is a long run of token characters shortly after a word that speaks of secrets.  It
+A candidate is a long run of token characters shortly after a word that speaks of secrets, be
+it before the run, in the name of ``NAME=value`` or before segments that dots join to it.  It
 is compressed between its surroundings by zstandard, primed with a dictionary of identifiers;
 the bytes it adds to the compressed surroundings are its novelty.  Names, paths and repeated
 values add few bytes, random strings nearly their information content.
@@ -27,6 +28,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Parts of a candidate between equals signs; those at its end are padding.
+VALUE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=+\Z)?")
+#: Candidates with what dots join to them.
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 SENSITIVE = (b"key", b"secret", b"token", b"passw", b"pwd", b"auth", b"credential", b"bearer", b"private", b"signature")
 #: Characters before a candidate in which a sensitive word must stand.
 REACH = 48
@@ -71,6 +76,18 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in ordered(spans))
 
 
+def speaks(text: str) -> bool:
+    """Whether a text holds a word that speaks of secrets."""
+    lowered = text.lower().encode()
+    return any(w in lowered for w in SENSITIVE)
+
+
+def name_of(text: str, run: int, start: int) -> str:
+    """The name before the last equals sign between the beginning of a run and a value in it."""
+    at = text.rfind("=", run, start)
+    return text[max(run, text.rfind("=", run, at) + 1) : at] if at >= 0 else ""
+
+
 class Novelty:
     def __init__(self, identifiers: str):
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -84,15 +101,17 @@ class Novelty:
 
     def spans(self, text: str, taken: list[Span], least: float) -> list[Span]:
         found = []
-        for m in CANDIDATE.finditer(text):
-            start, end = m.span()
-            near = text[max(0, start - REACH) : start].lower().encode()
-            if not any(w in near for w in SENSITIVE) or any(s < end and start < e for _, s, e in taken):
-                continue
-            value = m.group()
-            if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
-                if self.added(text, start, end) >= least * (end - start):
-                    found.append(("novel", start, end))
+        for run in RUN.finditer(text):
+            told = speaks(text[max(0, run.start() - REACH) : run.start()])
+            for m in CANDIDATE.finditer(text, *run.span()):
+                # no part is long enough: the candidate as it stands
+                values = [v.span() for v in VALUE.finditer(text, *m.span())] or [m.span()]
+                for start, end in values:
+                    if any(s < end and start < e for _, s, e in taken):
+                        continue
+                    if told or speaks(text[max(0, start - REACH) : start]) or speaks(name_of(text, run.start(), start)):
+                        if self.added(text, start, end) >= least * (end - start):
+                            found.append(("novel", start, end))
         return found
 
 

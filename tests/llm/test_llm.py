@@ -109,6 +109,24 @@ def test_secret_scan(spark, empty):
     assert secrets.secret_scan(empty).count() == 0
 
 
+def test_secret_scan_of_names_with_values(spark):
+    value, letters = "q8ZrT1mXw0Lp7VbKd3YfGh5Nc2Ju", "QzRxbLmWqpTnGvVbKdsYfGhUjCea"
+    long_name = "PRIVATE_" + "_".join(["configuration"] * 5)
+    jwt = ["eyJhbGciOiJSUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiI0ODE1MTYyMzQyIiwibmFtZSI6Ilh1In0", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJVadQssw5c"]
+    texts = [
+        (f"export AWS_SECRET_ACCESS_KEY={value} done", [value]), (f"PRIVATE_KEY={value}\n", [value]), (f"x SECRET_KEY={value}== y", [value + "=="]),
+        (f"https://h.example/a?user=a&signature={value}&page=2", [value]), (f"{long_name}={value}", [value]),
+        (f"AWS_SECRET_ACCESS_KEY=\"{value}\"", [value]), (f"'private_key': '{value}'", [value]), (f"private key {letters} end", [letters]),
+        (f"PRIVATE_KEY={letters}", [letters]), (f"Authorization: Bearer {'.'.join(jwt)} sent", jwt), ("private key Qz8Rx1LmW0p=Tn7VbKd3YfGh5 x", ["Qz8Rx1LmW0p=Tn7VbKd3YfGh5"]),
+        (f"USER_HOME={value}", []), (f"PRIVATE_KEY={'configuration_' * 3}", []), ("private key " + "=" * 40 + " " + "-" * 40, []),
+    ]
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in secrets.secret_scan(frame).collect():
+        text, wanted = texts[r.doc_id]
+        spans = [s.split(":") for s in r.spans.split(",") if s.startswith("novel")]
+        assert [text[int(a) : int(b)] for _, a, b in spans] == wanted, text
+
+
 def test_token_files(spark, docs, rows, empty):
     out = write_token_ids(docs, work_path(spark, "t"), parts=3)
     index = sorted((tuple(r) for r in token_index(spark, out).collect()), key=lambda r: r[1])
