@@ -1,7 +1,10 @@
-"""Benchmark passages in documents: SimHash of item-sized windows, Hamming search, exact check.
+"""Benchmark passages in documents: SimHash of windows, Hamming search, exact check.
 
-A window can only be similar to an item if they share a word shingle, so windows are laid where
-a shingle of an item occurs, at the place that shingle has in the item.  Each window's SimHash is
+A window can only be similar to an item if they share a word shingle, so windows of the item's
+size are laid where a shingle of it occurs, at the place that shingle has in the item.  Words
+put into a copy or left out of it change its size, so further windows reach from the beginning
+of any run of the item's shingles to the end of any other; without repeated shingles the most
+similar window is among them.  Each window's SimHash is
 looked up among the items' in an index of several blocks of bits: two fingerprints within the
 radius are within radius / blocks in at least one block, so the index misses none of them.
 What it returns is checked by the exact Jaccard similarity of the two sets of shingles.  All shingles
@@ -26,6 +29,8 @@ BLOCK_BITS = 16
 RADIUS = 20
 #: Items that are held in a task's memory at once; more are searched in several passes.
 ITEMS_AT_ONCE = 20_000
+#: For bounds that are computed in floats.
+SLACK = 1e-6
 
 
 def words_of(text: str) -> list[bytes]:
@@ -93,11 +98,13 @@ class Items:
             self.ids.append({item_id})
             self.counts.append(len(words))
             self.sets.append(np.unique(hashes))
+        self.counts = np.array(self.counts, np.int64)
+        self.distinct = np.array([len(own) for own in self.sets], np.int64)
         prints = [simhash(own) for own in self.sets]
         self.index = HammingIndex(np.array(prints, np.uint64), radius)
         anchors.sort()
         self.anchor_hash = np.array([a[0] for a in anchors], np.uint64)
-        self.anchor_size = np.array([self.counts[a[1]] for a in anchors], np.int64)
+        self.anchor_item = np.array([a[1] for a in anchors], np.int64)
         self.anchor_at = np.array([a[2] for a in anchors], np.int64)
 
     def matches(self, words: list[bytes], table: WordHashes, size: int, least: float) -> dict[int | None, tuple[float, int]]:
@@ -115,10 +122,8 @@ class Items:
             return best
         first = np.repeat(low[at], many[at])
         turn = np.arange(len(first)) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
-        anchor = first + turn
-        width = np.minimum(self.anchor_size[anchor], len(words))
-        start = np.clip(np.repeat(at, many[at]) - self.anchor_at[anchor], 0, len(words) - width)
-        for a, w in np.unique(np.stack([start, width], 1), axis=0).tolist():
+        anchor, where = first + turn, np.repeat(at, many[at])
+        for a, w in self._windows(hashes, anchor, where, len(words), size, least):
             window = np.unique(hashes[a : a + w - size + 1])
             for k in self.index.within(simhash(window)).tolist():
                 alike = similarity(window, self.sets[k])
@@ -129,6 +134,40 @@ class Items:
                         best[item_id] = (alike, a)
         return best
 
+    def _windows(self, hashes: np.ndarray, anchor: np.ndarray, where: np.ndarray, n: int, size: int, least: float) -> list:
+        """First word and number of words of the windows that can be similar to an item."""
+        item, own = self.anchor_item[anchor], np.unique(hashes, return_inverse=True)[1]
+        # a window is at most as similar to an item as the share of its shingles that the text holds
+        seen = np.unique(item * len(hashes) + own[where]) // len(hashes)
+        likely = np.bincount(seen, minlength=len(self.ids)) >= least * self.distinct - SLACK
+        kept = np.nonzero(likely[item])[0]
+        if not len(kept):
+            return []
+        kept = kept[np.lexsort((where[kept], item[kept]))]
+        item, where, anchor = item[kept], where[kept], anchor[kept]
+        width = np.minimum(self.counts[item], n)
+        start = np.clip(where - self.anchor_at[anchor], 0, n - width)
+        found = [np.stack([start, width], 1)]
+        for places in np.split(np.arange(len(item)), np.nonzero(np.diff(item))[0] + 1):
+            k = item[places[0]]
+            found += between(np.unique(where[places]), least * self.distinct[k], (self.counts[k] - size + 1) / least, size)
+        return np.unique(np.concatenate(found), axis=0).tolist()
+
+
+def between(places: np.ndarray, fewest: float, most: float, size: int) -> Iterator[np.ndarray]:
+    """First word and number of words from the beginning of a run of ``places`` to the end of the same or a later one.
+
+    Windows hold ``fewest`` of the places or more and no more than ``most`` shingles.
+    """
+    cut = np.nonzero(np.diff(places) > 1)[0]
+    begins, ends = np.append(0, cut + 1), np.append(cut, len(places) - 1)
+    for run, at in enumerate(begins.tolist()):
+        last = int(np.searchsorted(places[ends], places[at] + most - 1 + SLACK, side="right"))
+        end = ends[run:last]
+        end = end[end - at + 1 >= fewest - SLACK]
+        if len(end):
+            yield np.stack([np.full(len(end), places[at]), places[end] - places[at] + size], 1)
+
 
 def benchmark_matches(
     docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE_WORDS, least: float = SIMILAR / 100, radius: int = RADIUS

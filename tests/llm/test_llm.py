@@ -319,6 +319,29 @@ def test_hamming_index_misses_nothing():
         assert index.within(one).tolist() == wanted
 
 
+def test_decontamination_of_copies_of_another_size(spark):
+    item = text_of(100, 400).split()
+    copies = [
+        item[:50] + text_of(10, 401).split() + item[50:], item[:30] + ["put"] * 3 + item[30:60] + text_of(6, 402).split() + item[60:],
+        item[:40] + item[52:], item[:85], item[12:], item[5:50] + ["put", "in"] + item[50:96], item,
+    ]
+    texts = [f"{text_of(17, 410)} {' '.join(c)} {text_of(23, 411)}" for c in copies]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: (r.similarity, r.start_word) for r in benchmark_matches(frame, bench).collect()}
+    assert found[0][0] == pytest.approx(92 / 110)
+    own = shingle_set(" ".join(item))
+    for k, text in enumerate(texts):
+        words, best = text.split(), (0.0, 0)
+        held = [tuple(words[a : a + 5]) for a in range(len(words) - 4)]
+        for a in range(len(held)):
+            window = set()
+            for shingle in held[a:]:
+                window.add(shingle)
+                best = max(best, (len(window & own) / len(window | own), -a))
+        assert best[0] >= 0.75 and found[k] == (pytest.approx(best[0]), -best[1])
+
+
 def test_sharding(spark, docs, rows, empty):
     many = docs.unionAll(spark.createDataFrame([(1000 + k, "same text", None, None, None, None, None) for k in range(500)], SCHEMA))
     found = histogram_shards(many, shards=4).collect()
