@@ -14,6 +14,7 @@ weigh the same, so an item's similarity to a window does not hang on the other i
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -123,10 +124,12 @@ class Items:
         first = np.repeat(low[at], many[at])
         turn = np.arange(len(first)) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
         anchor, where = first + turn, np.repeat(at, many[at])
-        for a, w in self._windows(hashes, anchor, where, len(words), size, least):
-            window = np.unique(hashes[a : a + w - size + 1])
+        laid = self._windows(hashes, anchor, where, len(words), size, least)
+        for (a, w), group in groupby(laid, key=lambda r: r[:2]):
+            window, own = np.unique(hashes[a : a + w - size + 1]), {k for _, _, k in group}
             for k in self.index.within(simhash(window)).tolist():
-                alike = similarity(window, self.sets[k])
+                # only items that laid the window, so that no item's result hangs on which others are held
+                alike = similarity(window, self.sets[k]) if k in own else 0.0
                 if alike < least:
                     continue
                 for item_id in self.ids[k]:
@@ -135,10 +138,10 @@ class Items:
         return best
 
     def _windows(self, hashes: np.ndarray, anchor: np.ndarray, where: np.ndarray, n: int, size: int, least: float) -> list:
-        """First word and number of words of the windows that can be similar to an item."""
-        item, own = self.anchor_item[anchor], np.unique(hashes, return_inverse=True)[1]
+        """First word and number of words of the windows that can be similar to an item, and that item."""
+        item, rank = self.anchor_item[anchor], np.unique(hashes, return_inverse=True)[1]
         # a window is at most as similar to an item as the share of its shingles that the text holds
-        seen = np.unique(item * len(hashes) + own[where]) // len(hashes)
+        seen = np.unique(item * len(hashes) + rank[where]) // len(hashes)
         likely = np.bincount(seen, minlength=len(self.ids)) >= least * self.distinct - SLACK
         kept = np.nonzero(likely[item])[0]
         if not len(kept):
@@ -147,10 +150,11 @@ class Items:
         item, where, anchor = item[kept], where[kept], anchor[kept]
         width = np.minimum(self.counts[item], n)
         start = np.clip(where - self.anchor_at[anchor], 0, n - width)
-        found = [np.stack([start, width], 1)]
+        found = [np.stack([start, width, item], 1)]
         for places in np.split(np.arange(len(item)), np.nonzero(np.diff(item))[0] + 1):
             k = item[places[0]]
-            found += between(np.unique(where[places]), least * self.distinct[k], (self.counts[k] - size + 1) / least, size)
+            for own in between(np.unique(where[places]), least * self.distinct[k], (self.counts[k] - size + 1) / least, size):
+                found.append(np.insert(own, 2, k, axis=1))
         return np.unique(np.concatenate(found), axis=0).tolist()
 
 
@@ -180,10 +184,13 @@ def benchmark_matches(
     texts on either side match nothing; null ids are carried as they are; repeated items with
     one id count once.  Columns beyond ``doc_id, text`` and ``item_id, text`` are not read.
 
-    Tasks hold ``ITEMS_AT_ONCE`` items; a larger benchmark is searched in several passes.
+    Tasks hold ``ITEMS_AT_ONCE`` items; a larger benchmark is searched in several passes, whose
+    matches are merged, so their number does not show in the result.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return reduce(DataFrame.unionAll, [_search(texts, items, size, least, radius) for items in _passes(benchmark)])
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    searched = [_search(texts, items, k, size, least, radius) for k, items in enumerate(_passes(benchmark))]
+    return _merged(reduce(DataFrame.unionAll, searched))
 
 
 def without_benchmark(
@@ -218,16 +225,31 @@ def _clean(docs: DataFrame, items: list, size: int, least: float, radius: int) -
     return kept.select("row.*")
 
 
-def _search(texts: DataFrame, items: list, size: int, least: float, radius: int) -> DataFrame:
+def _merged(found: DataFrame) -> DataFrame:
+    """The best window of each document row and item, whichever passes found texts of that item.
+
+    Rows equal in doc_id and text match alike in a pass; they are counted and laid out again.
+    """
+    keys = ["doc_id", "text_hash", "item_id"]
+    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("back"))).alias("best")
+    by_pass = found.groupBy(*keys, "pass").agg(best, F.count("*").alias("n"))
+    merged = by_pass.groupBy(*keys).agg(F.max("best").alias("best"), F.max("n").alias("n"))
+    each = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return each.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start_word"))
+
+
+def _search(texts: DataFrame, items: list, turn: int, size: int, least: float, radius: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64())])
+        kinds = [pa.int64()] * 3 + [pa.float64(), pa.int64(), pa.int32()]
+        schema = pa.schema(list(zip(["doc_id", "text_hash", "item_id", "similarity", "start_word", "pass"], kinds, strict=True)))
         known, table = Items(items, size, radius), WordHashes()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")]
+            for doc_id, text_hash, text in zip(*columns, strict=True):
                 found = known.matches(words_of(text or ""), table, size, least)
-                out += [(doc_id, item, alike, at) for item, (alike, at) in found.items()]
+                out += [(doc_id, text_hash, item, alike, at, turn) for item, (alike, at) in found.items()]
             if out:
                 yield rows(schema, [list(c) for c in zip(*out, strict=True)])
 
-    return texts.mapInArrow(search, "doc_id long, item_id long, similarity double, start_word long")
+    return texts.mapInArrow(search, "doc_id long, text_hash long, item_id long, similarity double, start_word long, pass int")

@@ -11,7 +11,7 @@ import pytest
 from brute import jaccard_components, shingle_set
 from pyspark.sql import functions as F
 
-from retail_lake.llm import chat, language, mixing, secrets, tokens
+from retail_lake.llm import chat, decontaminate, language, mixing, secrets, tokens
 from retail_lake.llm.chat import chat_windows, digests
 from retail_lake.llm.decontaminate import HammingIndex, benchmark_matches, without_benchmark
 from retail_lake.llm.fingerprints import fingerprints_with_edits
@@ -310,6 +310,24 @@ def test_decontamination_of_shared_items(spark):
             assert r.similarity == pytest.approx(list(held.values())[r.doc_id][0])
 
 
+def test_decontamination_in_passes(spark, monkeypatch):
+    passages = [text_of(60, 300 + k) for k in range(3)]
+    items = [(1, passages[0]), (2, passages[0]), (1, passages[1]), (1, edited(passages[0], 40)), (3, passages[1]), (None, passages[1])]
+    items += [(None, passages[2]), (4, f"{passages[0]} {text_of(4, 310)}"), (5, "one two"), (5, "one two"), (6, None), (7, text_of(40, 311))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    both = f"{text_of(20, 320)} {edited(passages[0], 50)} {passages[1]} {passages[2]}"
+    texts = [(1, both), (1, both), (1, passages[1]), (None, both), (None, both), (2, "One two"), (3, text_of(80, 321)), (4, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("row", F.lit(1))
+    found, clean = [], []
+    for at_once in (2, 20_000):
+        monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", at_once)
+        found.append(Counter(tuple(r) for r in benchmark_matches(frame, bench).collect()))
+        clean.append(Counter(tuple(r) for r in without_benchmark(frame, bench).collect()))
+    assert found[0] == found[1] and clean[0] == clean[1]
+    assert Counter((d, i) for d, i, *_ in found[0].elements())[1, 1] == 3
+    assert sorted(d for d, *_ in clean[0]) == [3, 4]
+
+
 def test_hamming_index_misses_nothing():
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
