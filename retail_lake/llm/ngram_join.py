@@ -62,18 +62,27 @@ def _set_key(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def token_sets(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, n_shingles, key``: the size and a 64-bit key of each document's shingle set (null: empty)."""
+def token_sets(docs: DataFrame, size: int = SHINGLE_WORDS, hashed: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, key``: the size and a 64-bit key of each document's shingle set (null: empty).
+
+    With ``hashed`` also ``text_hash``, which with the doc_id finds the rows again.
+    """
+    more = ["text_hash"] if hashed else []
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64())])
+        schema = pa.schema([(c, pa.int64()) for c in ["doc_id", "n_shingles", "key", *more]])
         for batch in batches:
             found = [np.unique(common.shingles(lower_words(t), table, size)) for t in byte_texts(batch)]
             keys = [_set_key(t) if len(t) else None for t in found]
-            yield rows(schema, [batch.column("doc_id"), [len(t) for t in found], keys])
+            yield rows(schema, [batch.column("doc_id"), [len(t) for t in found], keys, *[batch.column(c) for c in more]])
+
+    told = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[text_hash().alias(c) for c in more])
+    return told.mapInArrow(sets, ", ".join([SETS, *[f"{c} long" for c in more]]))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sets, SETS)
+
+def text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _blocks(flush: int, places, tokens: np.ndarray, of: np.ndarray, seen=None) -> Iterator[pa.RecordBatch]:
@@ -416,7 +425,18 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     but never give a component its name (a component of such rows alone has a null one).
     Tokens are compared as hashes of 48 bits and more within ranges of hashes.
     """
-    sets = written(token_sets(docs, size), "sets")
+    return _components_of(written(token_sets(docs, size), "sets"), docs, size).drop("component_key")
+
+
+def component_rows(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``ngram_jaccard_join`` with ``text_hash`` and ``component_key``.
+
+    The key tells components apart that have the same name or none; texts with the empty set have a null one.
+    """
+    return _components_of(written(token_sets(docs, size, hashed=True), "sets"), docs, size)
+
+
+def _components_of(sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     tokens = sets.agg(F.sum("n_shingles")).first()[0] or 0
     parts = min(max(RANGES, -(-tokens // RANGE_TOKENS)), 60_000)
     known = sets.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"))
@@ -428,10 +448,12 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     roots = components(found.select("u", "v")).withColumnsRenamed({"node": "key"})
     names = known.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = names.groupBy("root").agg(F.min("least").alias("component"))
-    per_class = names.join(least, "root").join(between, "key", "left").select("key", "weight", "component", "between")
+    per_class = names.join(least, "root").join(between, "key", "left").select("key", "weight", "component", "between", "root")
     return sets.join(per_class, "key", "left").select(
         "doc_id",
         "n_shingles",
         F.coalesce(F.col("weight") - 1 + F.coalesce("between", F.lit(0)), F.lit(0)).alias("n_links"),
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        F.col("root").alias("component_key"),
+        *[c for c in sets.columns if c == "text_hash"],
     )

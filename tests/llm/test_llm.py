@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from brute import jaccard_components, shingle_set
@@ -70,6 +71,22 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_jaccard_join(empty).count() == 0
 
 
+def test_near_duplicates_without_unique_ids(spark):
+    base, other, alone = text_of(80, 500), text_of(80, 501), [text_of(60, 510 + k) for k in range(3)]
+    texts = [
+        (1, base), (None, base), (None, edited(base, 70)), (None, alone[0]), (None, other), (None, other), (None, edited(other, 70)),
+        (2, alone[1]), (2, base.upper()), (3, alone[2]), (3, edited(alone[2], 50)), (None, ""), (None, ""), (4, ""), (5, None), (None, None),
+    ]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("row", F.lit("r"))
+    stay = corpus_pipeline.near_duplicates(spark, frame, "")
+    assert stay.columns == frame.columns
+    found = Counter((r.doc_id, r.text) for r in stay.collect())
+    either = [{(None, other), (None, edited(other, 70))}, {(3, alone[2]), (3, edited(alone[2], 50))}]
+    for rows_of_one in either:
+        assert sum(found.pop(r, 0) for r in rows_of_one) == 1
+    assert found == Counter([(1, base), (None, alone[0]), (2, alone[1]), (None, ""), (4, ""), (5, None), (None, None)])
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(40)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)] + [(7, 7)]
