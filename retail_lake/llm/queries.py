@@ -14,6 +14,7 @@ from retail_lake.llm.mixing import mix
 from retail_lake.llm.ngram_join import ngram_jaccard_join
 from retail_lake.llm.secrets import secret_scan
 from retail_lake.llm.sharding import histogram_shards
+from retail_lake.llm.spelling import DAMAGE_ONE_IN, spelling_variants
 from retail_lake.llm.token_counts import token_counts
 from retail_lake.llm.token_output import token_index, write_token_ids
 from retail_lake.staging import work_path
@@ -80,6 +81,11 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, one run in 199 damaged, with near words, forms and roots."""
+    return spelling_variants(_table(spark, sf_dir, "documents"), damage=DAMAGE_ONE_IN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: function for name, function in list(globals().items()) if name.startswith("op")
 }
