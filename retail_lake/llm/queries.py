@@ -12,6 +12,7 @@ from retail_lake.llm.decontaminate import benchmark_matches
 from retail_lake.llm.fingerprints import fingerprints_with_edits
 from retail_lake.llm.mixing import mix
 from retail_lake.llm.ngram_join import ngram_jaccard_join
+from retail_lake.llm.repair import damaged, repair_report
 from retail_lake.llm.secrets import secret_scan
 from retail_lake.llm.sharding import histogram_shards
 from retail_lake.llm.spelling import DAMAGE_ONE_IN, spelling_variants
@@ -81,6 +82,11 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a fixed rule: their faults, the cheapest edits and what these make."""
+    return repair_report(damaged(_table(spark, sf_dir, "conversations")), "copies")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all documents, one run in 199 damaged, with near words, forms and roots."""
     return spelling_variants(_table(spark, sf_dir, "documents"), damage=DAMAGE_ONE_IN)
