@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_lake.llm import language
+from retail_lake.llm import language, toxicity
 from retail_lake.llm.chat import chat_windows, digests
 from retail_lake.llm.common import written
 from retail_lake.llm.decontaminate import benchmark_matches
@@ -87,6 +87,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(_table(spark, sf_dir, "conversations")), "copies")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document by a classifier of the labelled ones that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
+    return toxicity.predict(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "worst_word")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all documents, one run in 199 damaged, with near words, forms and roots."""
     return spelling_variants(_table(spark, sf_dir, "documents"), damage=DAMAGE_ONE_IN)
