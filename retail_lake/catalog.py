@@ -6,6 +6,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retail_lake.functions import quantiles
 from retail_lake.functions.dates import date_names
 from retail_lake.functions.encode import category_code, one_hot, risk_band
 from retail_lake.operators import (
@@ -561,6 +562,19 @@ def order_percentiles(spark, d):
     return metrics.percentiles(transactions(spark, d), "price_per_unit")
 
 
+@query
+def quantile_sketches(spark, d):
+    """Prices of order lines by year from sketches stored by day: whether five quantiles have their rank to half a percent."""
+    lines, probs = transactions(spark, d).select("date", "price_per_unit"), [0.05, 0.25, 0.5, 0.9, 0.99]
+    years = quantiles.sketched_quantiles(
+        stage(quantiles.sketches(lines, ["date"], "price_per_unit")).withColumn("year", F.year("date")), ["year"], probs
+    )
+    ranked = lines.withColumn("year", F.year("date")).join(years, "year").groupBy("year", "n")
+    v = F.col("price_per_unit")
+    shares = [(F.avg((v < F.col("quantiles")[i]).cast("int")), F.avg((v <= F.col("quantiles")[i]).cast("int")), p) for i, p in enumerate(probs)]
+    return ranked.agg(*[((below - 0.005 <= p) & (p <= upto + 0.005)).alias(f"within_{i}") for i, (below, upto, p) in enumerate(shares)])
+
+
 @query
 def anomaly_rate(spark, d):
     return metrics.anomaly_rate(_flagged(spark, d))

@@ -7,9 +7,12 @@ from retail_lake.schema import CATEGORIES, CATEGORY_CODES
 
 
 def whole_number(column: Column) -> Column:
-    """Text or number as an int: ``2`` and ``2.0`` are 2; a fraction, other text and what is out of range are null."""
-    exact = column.try_cast("decimal(38,6)")
-    return F.when(exact == F.floor(exact), exact).try_cast("int")
+    """Text or number as an int: ``2``, ``2.0`` and ``2e0`` are 2; a fraction, however small, other text and what is out of range are null."""
+    text = F.trim(column.cast("string"))
+    digits = F.regexp_extract(text, r"^([+-]?[0-9]+)(?:\.0*)?$", 1)
+    exponent = F.when(text.rlike(r"^[+-]?([0-9]+\.?|[0-9]*\.[0-9]{1,9})[eE][+-]?[0-9]{1,2}$"), text)
+    exact = exponent.try_cast("decimal(38,18)")
+    return F.coalesce(F.nullif(digits, F.lit("")).try_cast("int"), F.when(exact == F.floor(exact), exact).try_cast("int"))
 
 
 def category_code(category: str | Column, codes: dict[str, int] = CATEGORY_CODES, unknown_code: int = -1) -> Column:
@@ -27,17 +30,16 @@ def one_hot(category: str, categories: list[str] = CATEGORIES) -> dict[str, Colu
 
 def standard_gender(gender: str) -> Column:
     """Female and Male become F and M; anything else, null included, is Unknown."""
-    short = F.try_element_at(F.create_map(F.lit("Female"), F.lit("F"), F.lit("Male"), F.lit("M")), F.col(gender))
-    return F.coalesce(short, F.lit("Unknown"))
+    # Codes of the genders.
+    g = F.col(gender)
+    return F.when(g == "Female", "F").when(g == "Male", "M").otherwise("Unknown")
 
 
 def age_band(age: str) -> Column:
     """Label of the age band; the youngest is open below, a missing age falls into the oldest."""
-    # Lower ages of the bands after the first, and all labels.
-    starts = [25, 35, 45, 55]
-    labels = ["18-24", "25-34", "35-44", "45-54", "55+"]
-    passed = sum((F.col(age) >= start).cast("int") for start in starts)
-    return F.element_at(F.array(*map(F.lit, labels)), F.coalesce(passed, F.lit(len(starts))) + 1)
+    # The age bands of the segment table.
+    a = F.col(age)
+    return F.when(a < 25, "18-24").when(a < 35, "25-34").when(a < 45, "35-44").when(a < 55, "45-54").otherwise("55+")
 
 
 def risk_band(score: str) -> Column:

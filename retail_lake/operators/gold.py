@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retail_lake.functions.encode import age_band, money_mean, risk_band
 
+# Keys of the daily table.
 DAILY_KEYS = ["date", "product_category", "year", "month", "day_of_week", "quarter", "is_weekend"]
 
 
@@ -61,6 +62,7 @@ def customer_segments(silver: DataFrame) -> DataFrame:
 
 def anomaly_records(scored: DataFrame) -> DataFrame:
     """The anomaly table: scored feature rows with their risk level."""
+    # Columns of the anomaly table, in order.
     return scored.select(
         "date",
         "product_category",

@@ -31,7 +31,9 @@ def typed(raw: DataFrame) -> DataFrame:
         else:
             column = F.col(f"`{name}`").try_cast(types.get(short, "string"))
         columns.append(column.alias(short))
-    return raw.select(*columns)
+    # A generator is a barrier: a filter on a typed column stays above it, so that each value is
+    # parsed once and not again in every filter.
+    return raw.select(F.inline(F.array(F.struct(*columns))))
 
 
 def drop_reason() -> Column:

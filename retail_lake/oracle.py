@@ -535,6 +535,8 @@ GROUP BY month(date), monthname(date)""",
         "describe_revenue": _describe(),
         "score_percentiles": f"WITH {FEAT} " + _percentiles("feat", "revenue_z_score"),
         "order_percentiles": f"WITH {TX} " + _percentiles("tx", "price_per_unit"),
+        "quantile_sketches": f"""WITH {TX} SELECT CAST(year(date) AS INTEGER) AS year, count(price_per_unit) AS n,
+       true AS within_0, true AS within_1, true AS within_2, true AS within_3, true AS within_4 FROM tx GROUP BY 1""",
         "anomaly_rate": f"""WITH {flagged()}, c AS (SELECT count(*) AS total_records, CAST(sum(anomaly_flag) AS BIGINT) AS anomalies FROM scored)
 SELECT total_records, anomalies, total_records - anomalies AS normal, {rx('anomalies / total_records * 100', 'anomaly_percent')},
        {rx('(total_records - anomalies) / total_records * 100', 'normal_percent')} FROM c""",

@@ -66,3 +66,10 @@ def test_hot_customer_and_category(spark):
     )
     row = quality.silver_quality(df).first()
     assert (row.total_records, row.unique_customers, row.categories) == (30_000, 10_001, 2)
+
+
+def test_numbers_are_parsed_once(spark):
+    """Filters on typed columns stay above the parsing: one rule evaluation for each of the two whole-number columns."""
+    rows = silver.silver(raw_transactions(spark, SF_DIR))
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract(") == 2

@@ -3,7 +3,10 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from retail_lake.functions.encode import age_band, category_code, risk_band, standard_gender
+from retail_lake.functions.encode import whole_number
 from retail_lake.operators import gold, quality, silver
 from retail_lake.schema import RAW_COLUMNS, RAW_SCHEMA, clean_header, normalise_headers
 
@@ -106,3 +109,11 @@ def test_approximate_customers_stay_close(spark, raw):
     exact = gold.monthly_summary(silver.silver(raw)).orderBy("product_category").collect()
     rough = gold.monthly_summary(silver.silver(raw), approximate=True).orderBy("product_category").collect()
     assert [r.unique_customers for r in exact] == [r.unique_customers for r in rough]
+
+
+def test_whole_numbers(spark):
+    texts = ["2", " 2.0 ", "2.", "+2", "-3", "2e0", "1.5e1", "20E-1", "2.0000001", "2.0000000000000000001", "1.5", "1e-3", "x", "", None, "3000000000", "1e40", ".0", "--2"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.n for r in rows.select("k", whole_number(F.col("t")).alias("n")).orderBy("k").collect()]
+    assert got == [2, 2, 2, 2, -3, 2, 15, 2, *[None] * 11]
+    assert [r[0] for r in spark.sql("SELECT 2.0D AS d UNION ALL SELECT 2.5D").select(whole_number(F.col("d"))).collect()] == [2, None]
