@@ -20,6 +20,7 @@ from retail_lake.operators import (
     retrieval,
     routing,
     silver,
+    text_index,
 )
 from retail_lake.plans import context, medallion, training
 from retail_lake.schema import ANOMALY_FEATURES, CATEGORIES, RAW_COLUMNS
@@ -730,7 +731,19 @@ def keyword_search(spark, d):
 
 @query
 def bm25_search(spark, d):
-    return retrieval.bm25_search(_library(spark, d), SEARCHES, ["doc_id"], k=10)
+    """The fixed requests against a stored index of the documents."""
+    index = text_index.write_text_index(_library(spark, d), ["doc_id"])
+    asked = spark.createDataFrame([(q.query_id, q.text, q.category) for q in SEARCHES], "query_id string, text string, category string")
+    return text_index.ranked_search(spark, index, asked, k=10)
+
+
+@query
+def bm25_messages(spark, d):
+    """Every message of every conversation as a search over all documents, in one job."""
+    index = text_index.write_text_index(_library(spark, d), ["doc_id"])
+    name = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    asked = table(spark, d, "conversations").select(name.alias("query_id"), "text", F.lit(None).cast("string").alias("category"))
+    return text_index.ranked_search(spark, index, asked, k=3)
 
 
 @query

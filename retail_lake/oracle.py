@@ -204,6 +204,9 @@ LIBRARY = """library AS (
          coalesce(quality, 0) * 0.5 AS score
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
+MESSAGE_TERMS = """SELECT conv_id || ':' || turn AS query_id, CAST(NULL AS VARCHAR) AS wanted,
+  unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS term FROM conversations"""
+
 CHUNKS = """chunks AS (
   SELECT doc_id, source, lang, CAST(n AS INTEGER) AS chunk_id, substring(text, CAST(n * 450 + 1 AS INTEGER), 500) AS chunk_text
   FROM (SELECT doc_id, source, lang, text, unnest(generate_series(0, (length(text) - 1) // 450)) AS n
@@ -229,12 +232,12 @@ found AS (
   WHERE rank <= {k})"""
 
 
-def _bm25(k: int) -> str:
+def _bm25(k: int, terms: str = "SELECT query_id, wanted, unnest(string_split(words, ' ')) AS term FROM searches") -> str:
     return f"""{LIBRARY}, {_searches()}, parsed AS (
   SELECT doc_id, category, list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM library),
 sized AS (SELECT *, len(ws) AS n FROM parsed),
 corpus AS (SELECT count(*) AS docs, avg(n) AS mean_n FROM sized),
-terms AS (SELECT query_id, wanted, unnest(string_split(words, ' ')) AS term FROM searches),
+terms AS ({terms}),
 tf AS (SELECT doc_id, category, n, term, count(*) AS tf
        FROM (SELECT doc_id, category, n, unnest(ws) AS term FROM sized) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -568,6 +571,7 @@ FROM l GROUP BY product_category""",
         "keyword_search": f"WITH {LIBRARY}, {_keyword('library', 'doc_id', 'title', 'content', 'category', 'score', 10)} "
         f"SELECT query_id, doc_id, {r('relevance_score')}, rank FROM found",
         "bm25_search": f"WITH {_bm25(10)} SELECT query_id, doc_id, {r('relevance_score')}, rank FROM found",
+        "bm25_messages": f"WITH {_bm25(3, MESSAGE_TERMS)} SELECT query_id, doc_id, {r('relevance_score')}, rank FROM found",
         "knn_topk": f"""WITH cells AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
 means AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM cells GROUP BY label, pos),
 centroids AS (SELECT label, list(x ORDER BY pos) AS c FROM means GROUP BY label),
