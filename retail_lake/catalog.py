@@ -16,6 +16,7 @@ from retail_lake.operators import (
     forecast,
     gold,
     metrics,
+    nearest,
     quality,
     retrieval,
     routing,
@@ -751,8 +752,34 @@ def knn_topk(spark, d):
     """The four vectors nearest to the mean vector of each label."""
     vectors = table(spark, d, "embeddings")
     centroids = retrieval.group_centroids(vectors, "label", "embedding")
-    near = retrieval.vector_top_k(vectors.select("vec_id", "embedding"), centroids, "vec_id", "label", "embedding")
-    return near
+    return nearest.vector_top_k(vectors.select("vec_id", "embedding"), centroids, "vec_id", "label", "embedding")
+
+
+def _asked_vectors(spark, d):
+    """Every hundredth vector as a query against all."""
+    vectors = table(spark, d, "embeddings")
+    return vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query
+def knn_block_join(spark, d):
+    vectors, asked = _asked_vectors(spark, d)
+    return nearest.vector_top_k(vectors, asked, "vec_id", "query_id", "embedding", k=10)
+
+
+@query
+def knn_index_recall(spark, d):
+    """Whether the stored hash tables find nine tenths of the true ten nearest."""
+    vectors, asked = _asked_vectors(spark, d)
+    exact = nearest.vector_top_k(vectors, asked, "vec_id", "query_id", "embedding", k=10)
+    index = nearest.write_vector_index(vectors, "vec_id", "embedding")
+    told = nearest.recall(nearest.index_top_k(spark, index, asked, "query_id", "embedding", k=10, least_similarity=-1.0), exact, "query_id")
+    return told.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query
+def vector_report(spark, d):
+    return nearest.vector_report(table(spark, d, "embeddings"), "embedding")
 
 
 @query

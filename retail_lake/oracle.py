@@ -572,6 +572,16 @@ FROM l GROUP BY product_category""",
         f"SELECT query_id, doc_id, {r('relevance_score')}, rank FROM found",
         "bm25_search": f"WITH {_bm25(10)} SELECT query_id, doc_id, {r('relevance_score')}, rank FROM found",
         "bm25_messages": f"WITH {_bm25(3, MESSAGE_TERMS)} SELECT query_id, doc_id, {r('relevance_score')}, rank FROM found",
+        "knn_block_join": f"""WITH pairs AS (
+  SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity
+  FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, vec_id, {r('similarity')}, rank FROM ranked WHERE rank <= 10""",
+        "knn_index_recall": """SELECT count(*) AS queries, CAST(10 * count(*) AS BIGINT) AS neighbours, true AS enough
+FROM embeddings WHERE vec_id % 100 = 0""",
+        "vector_report": """SELECT count(*) AS rows, count(*) FILTER (coalesce(len(embedding), 0) = 0) AS without_vector,
+       count(*) FILTER (len(embedding) > 0 AND list_min(embedding) = 0 AND list_max(embedding) = 0) AS zero_vectors,
+       CAST(min(len(embedding)) AS INTEGER) AS least_dimensions, CAST(max(len(embedding)) AS INTEGER) AS most_dimensions FROM embeddings""",
         "knn_topk": f"""WITH cells AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
 means AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM cells GROUP BY label, pos),
 centroids AS (SELECT label, list(x ORDER BY pos) AS c FROM means GROUP BY label),

@@ -72,35 +72,6 @@ def test_bm25_against_the_formula(entries):
         Query("q", "")
 
 
-@pytest.mark.parametrize("block_mb", [64, 0])
-def test_nearest_vectors_against_brute_force(spark, block_mb):
-    rng = np.random.default_rng(2)
-    x, q = rng.normal(size=(200, 8)), rng.normal(size=(5, 8))
-    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(6)
-    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid int, v array<double>")
-    # block_mb=0 forces a block, and so a pass over the corpus, per query
-    got = retrieval.vector_top_k(corpus, queries, "id", "qid", "v", k=3, block_mb=block_mb).collect()
-    sim = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-    expected = {(i, int(j)) for i in range(5) for j in np.argsort(-sim[i])[:3]}
-    assert {(r.qid, r.id) for r in got} == expected and len(got) == 15
-
-
-def test_equal_vectors_rank_by_id(spark):
-    corpus = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)], "id long, v array<double>").repartition(5)
-    queries = spark.createDataFrame([("a", [2.0, 0.0])], "qid string, v array<double>")
-    got = retrieval.vector_top_k(corpus, queries, "id", "qid", "v", k=4).orderBy("rank").collect()
-    assert [r.id for r in got] == [0, 1, 2, 3]
-    none = retrieval.vector_top_k(corpus, queries.limit(0), "id", "qid", "v")
-    assert none.count() == 0
-
-
-def test_zero_vectors_come_last(spark):
-    corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, [3.0, 0.0])], "id long, v array<double>")
-    queries = spark.createDataFrame([("a", [1.0, 0.0]), ("z", [0.0, 0.0])], "q string, v array<double>")
-    got = retrieval.vector_top_k(corpus, queries, "id", "q", "v", k=3).orderBy("q", "rank").collect()
-    assert [(r.q, r.id) for r in got] == [("a", 3), ("a", 2), ("a", 1), ("z", 1), ("z", 2), ("z", 3)]
-
-
 def test_top_k_prunes_before_the_shuffle(entries):
     found = retrieval.keyword_search(entries, [Query("q", "sell")], ["id"], k=2)
     plan = found._jdf.queryExecution().executedPlan().toString()
