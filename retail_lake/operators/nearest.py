@@ -145,8 +145,9 @@ def _hashable(vectors: DataFrame, name: str, vector: str) -> DataFrame:
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     units = _usable(vectors, name, vector).withColumn("_length", length).where("_length > 0")
     scaled = F.transform("v", lambda x: x / or_one(F.col("_length")))
-    # the optimiser may ask for the vector before the filter above, and the conversion takes no null
-    return units.select(name, array_to_vector(F.coalesce(scaled, F.array().cast("array<double>"))).alias("unit"))
+    # staged, because MLlib's functions fail on the rows left out, and the optimiser may call them before the filter
+    kept = stage(units.select(name, scaled.alias("scaled")))
+    return kept.select(name, array_to_vector(F.col("scaled")).alias("unit"))
 
 
 def write_vector_index(
