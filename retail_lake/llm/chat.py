@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_lake.llm.common import partitions, rows, written
-from retail_lake.llm.tokens import BYTE_BPE, blank_pieces, pieces_of
+from retail_lake.llm.tokens import BYTE_BPE, Pieces, blank_pieces, load
 
 BUDGET = 2048
 HISTORY = 256
@@ -68,7 +68,7 @@ def _counted(conversations: DataFrame, path: str) -> DataFrame:
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(path, blank_pieces)
+        pieces = Pieces(load(path), blank_pieces)
         for batch in batches:
             turns = zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)
             n = pieces.counts([format_turn(role, text)[0] for role, text in turns])

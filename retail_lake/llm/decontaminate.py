@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from retail_lake.llm.common import SHINGLE_WORDS, SIMILAR, WordHashes, rows, shingles
 
@@ -221,7 +222,7 @@ def _clean(docs: DataFrame, items: list, size: int, least: float, radius: int) -
             yield batch.select(["row"]).filter(pa.array(good))
 
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kept = docs.select(F.col("text").cast("string").alias("text"), whole).mapInArrow(clean, f"row {docs.schema.simpleString()}")
+    kept = docs.select(F.col("text").cast("string").alias("text"), whole).mapInArrow(clean, StructType([StructField("row", docs.schema)]))
     return kept.select("row.*")
 
 

@@ -46,7 +46,7 @@ def targets(sizes: list[int], weights: list[float], repeats: float = REPEATS) ->
     while not all(stopped):
         rest = total - sum(repeats * s for s, full in zip(sizes, stopped, strict=True) if full)
         weight = sum(w for w, full in zip(weights, stopped, strict=True) if not full)
-        found = [repeats * s if full else rest * w / weight for s, w, full in zip(sizes, weights, stopped, strict=True)]
+        found = [float(repeats * s) if full else rest * w / weight for s, w, full in zip(sizes, weights, stopped, strict=True)]
         over = [not full and f > repeats * s for f, s, full in zip(found, sizes, stopped, strict=True)]
         if not any(over):
             break
@@ -171,8 +171,8 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS,
     """The documents with what the mix takes of each, and the mix itself.
 
     First: a row per row of ``docs`` with ``doc_id``, ``_order`` (hash of doc_id and text),
-    ``_size``, ``_source_size``, ``_target`` (its source's) and ``_taken`` (words, repeats counted).  Second: ``shard, place, source, block,
-    doc_id, from_word, to_word``, the words that make up each slot.
+    ``_size``, ``_source_size``, ``_target`` (its source's) and ``_taken`` (words, repeats counted).  Second, written: ``shard, place, source_number,
+    block, doc_id, _begin, from_word, to_word``, the words that make up each slot; ``_taken`` is summed from it.
 
     Sizes are counted in words of the whole text; null and empty texts have none and are never
     taken.  Null is a source of its own and the last.  A source without words has target 0.
@@ -194,34 +194,40 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS,
     end = F.least(F.col("_begin") + F.col("_size"), (F.col("block") + 1) * block)
     cut = cut.withColumns({"from_word": begin - F.col("_begin"), "to_word": end - F.col("_begin")})
     drawn = written(slots(spark, sources, shards, seed), "slots")
-    used = drawn.groupBy("source_number", "block").agg(F.count("*").alias("times"))
-    taken = (
-        cut.join(used, ["source_number", "block"])
-        .groupBy("source_number", "_begin")
-        .agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("times")).alias("_taken"))
+    # the mix is written, and what it takes of each document is read from it
+    output = written(
+        drawn.join(cut, ["source_number", "block"]).select(
+            "shard", "place", "source_number", "block", "doc_id", "_begin", "from_word", "to_word"
+        ),
+        "mix",
     )
+    taken = output.groupBy("source_number", "_begin").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"))
     # a document with words is the only one that begins where it does; one without takes nothing
     result = placed.join(taken, ["source_number", "_begin"], "left").withColumn(
         "_taken", F.when(F.col("_size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(F.lit(0)).cast("long")
     )
-    output = drawn.join(cut, ["source_number", "block"]).select(
-        "shard", "place", "source_number", "block", "doc_id", "from_word", "to_word"
-    )
     return result, output
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes its words.
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, repeats: float = REPEATS) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix of whole documents takes it.
 
-    A document of which a part is taken counts as a whole one with that part as its chance,
-    decided by its hash; so sources come near their targets and no row occurs more than three times.
+    A document is the block here: the documents of a source stand in a pseudorandom order, all
+    are taken as often as the target holds the whole source, and then once more from the front
+    until the target is met.  So every source ends within half a document of its target, and no
+    row occurs more than ``repeats`` times.  Texts without words are never taken; rows equal in
+    doc_id and text are taken alike, as often as they would be on average.
     """
-    taken, _ = mix(docs, block, seed=seed)
-    times = (F.col("_taken") / F.col("_size")).cast("double")
-    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.lit(1 << 20)) / float(1 << 20)
-    copies = taken.where("_taken > 0").select(F.col("doc_id").alias("_doc_id"), "_order", (F.floor(times) + (chance < times - F.floor(times)).cast("int")).alias("_copies"))
-    # rows equal in doc_id and text are taken as often as the luckiest of them
-    shares = copies.groupBy("_doc_id", "_order").agg(F.max("_copies").cast("int").alias("_copies")).where("_copies > 0")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_d"), order_hash().alias("_o"))
-    chosen = whole.join(shares, (F.col("_o") == F.col("_order")) & F.col("_d").eqNullSafe(F.col("_doc_id")))
+    spark = docs.sparkSession
+    staged = written(sized(docs), "sizes")
+    named = spark.createDataFrame(
+        [(s.name, s.size, s.target) for s in plan(staged, BLOCK_WORDS, weights, repeats)], "_s string, _source_size long, _target double"
+    )
+    placed = _begins(staged.where("_size > 0")).join(named, F.col("_source").eqNullSafe(F.col("_s")))
+    whole = F.floor(F.col("_target") / F.col("_source_size"))
+    rest = F.col("_target") - whole * F.col("_source_size")
+    copies = whole + (F.col("_begin") + F.col("_size") / 2 <= rest).cast("int")
+    shares = placed.groupBy(F.col("doc_id").alias("_doc_id"), "_order").agg(F.round(F.avg(copies)).cast("int").alias("_copies"))
+    rows_of = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_d"), order_hash().alias("_o"))
+    chosen = rows_of.join(shares.where("_copies > 0"), (F.col("_o") == F.col("_order")) & F.col("_d").eqNullSafe(F.col("_doc_id")))
     return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")

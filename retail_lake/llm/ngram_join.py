@@ -27,8 +27,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_lake.llm import common
-from retail_lake.llm.common import SHINGLE_WORDS, SIMILAR, WordHashes, byte_texts, lower_words, rows, runs, written
+from retail_lake.llm.common import (
+    SHINGLE_WORDS,
+    SIMILAR,
+    WordHashes,
+    byte_texts,
+    lower_words,
+    mixed,
+    partitions,
+    rows,
+    runs,
+    shingles,
+    written,
+)
 from retail_lake.llm.graph import components
 
 FLUSH_TOKENS = 1 << 20
@@ -73,7 +84,7 @@ def token_sets(docs: DataFrame, size: int = SHINGLE_WORDS, hashed: bool = False)
         table = WordHashes()
         schema = pa.schema([(c, pa.int64()) for c in ["doc_id", "n_shingles", "key", *more]])
         for batch in batches:
-            found = [np.unique(common.shingles(lower_words(t), table, size)) for t in byte_texts(batch)]
+            found = [np.unique(shingles(lower_words(t), table, size)) for t in byte_texts(batch)]
             keys = [_set_key(t) if len(t) else None for t in found]
             yield rows(schema, [batch.column("doc_id"), [len(t) for t in found], keys, *[batch.column(c) for c in more]])
 
@@ -153,7 +164,7 @@ def _token_blocks(docs: DataFrame, parts: int, size: int) -> DataFrame:
         table, held, total, known, nth = WordHashes(), [], 0, set(), 0
         for batch in batches:
             for text in byte_texts(batch):
-                tokens = np.unique(common.shingles(lower_words(text), table, size))
+                tokens = np.unique(shingles(lower_words(text), table, size))
                 if not len(tokens) or (key := _set_key(tokens)) in known:
                     continue
                 known.add(key)
@@ -200,7 +211,7 @@ def _shared_blocks(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 def parts_of(df: DataFrame) -> int:
-    return common.partitions(df.sparkSession)
+    return partitions(df.sparkSession)
 
 
 def _classes(shared: DataFrame) -> DataFrame:
@@ -228,7 +239,7 @@ def _classes(shared: DataFrame) -> DataFrame:
             out: list[list] = [[] for _ in kinds]
             for k in np.nonzero(good)[0]:
                 own = tokens[starts[k] : starts[k + 1]]
-                least = np.sort(common.mixed(own + np.uint64(1)))[:2]
+                least = np.sort(mixed(own + np.uint64(1)))[:2]
                 row = (
                     int(of[k]),
                     int(n[k]),
@@ -291,7 +302,7 @@ def _matrix(groups: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for gid, prefix in zip(batch.column("gid").to_pylist(), batch.column("prefix").to_pylist(), strict=True):
                 tokens = np.frombuffer(prefix, np.uint64)
-                of = (common.mixed(tokens) % np.uint64(parts)).astype(np.uint16)
+                of = (mixed(tokens) % np.uint64(parts)).astype(np.uint16)
                 yield from _blocks(gid, np.zeros(len(tokens), np.int64), tokens, of, np.ones(len(tokens), np.int64))
 
     return groups.select("gid", "prefix").mapInArrow(deal, BLOCKS)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retail_lake.llm.common import rows
-from retail_lake.llm.tokens import BYTE_BPE, blank_pieces, chunked_spans, pieces_of
+from retail_lake.llm.tokens import BYTE_BPE, Pieces, blank_pieces, chunked_spans, load
 
 CHUNK_CHARS = 1 << 14
 OVERLAP_CHARS = 256
@@ -28,7 +28,7 @@ def token_counts(
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(path, blank_pieces)
+        pieces = Pieces(load(path), blank_pieces)
         schema = pa.schema(
             [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("n_chunks", pa.int32())]
         )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from retail_lake.llm import common
 from retail_lake.llm.common import rows
-from retail_lake.llm.tokens import WORD_BPE, forget_pieces, pieces_of, word_pieces
+from retail_lake.llm.tokens import WORD_BPE, Pieces, load, word_pieces
 
 END = 2
 ROW_GROUP_BYTES = 32 << 20
@@ -49,16 +49,19 @@ def write_token_ids(docs: DataFrame, out: str, path: str = WORD_BPE, end: int =
     bounds = _bounds(docs, parts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(path, word_pieces)
-        kind = np.uint16 if max(pieces.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else np.uint32
+        pieces = Pieces(load(path), word_pieces)
+        kind = pieces.kind if end <= np.iinfo(pieces.kind).max else np.dtype("<u4")
+        last = np.array([end], kind).tobytes()
         schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())])
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(k, SLICE)
-                found = pieces.ids([t or "" for t in batch.column("text").to_pylist()])
-                ids = [np.append(i, np.uint32(end)).astype(kind).tobytes() for i in found]
+                packed = pieces.packed([t or "" for t in batch.column("text").to_pylist()])
+                if kind != pieces.kind:
+                    packed = (np.frombuffer(b, pieces.kind).astype(kind).tobytes() for b in packed)
+                ids = [b + last for b in packed]
                 at = [0 if d is None else int(np.searchsorted(bounds, d)) for d in batch.column("doc_id").to_pylist()]
-                yield rows(schema, [at, batch.column("doc_id"), [kind is np.uint32] * len(ids), ids])
+                yield rows(schema, [at, batch.column("doc_id"), [kind.itemsize == 4] * len(ids), ids])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -66,15 +69,13 @@ def write_token_ids(docs: DataFrame, out: str, path: str = WORD_BPE, end: int =
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(k, SLICE)
-                wide = batch.column("wide").to_pylist()
-                ids = [
-                    np.frombuffer(b, np.uint32 if w else np.uint16).astype(np.int32)
-                    for b, w in zip(batch.column("ids").to_pylist(), wide, strict=True)
-                ]
-                sizes = np.array([len(i) for i in ids], np.int64)
+                # all rows of one table are of one kind
+                kind = np.dtype("<u4" if batch.column("wide")[0].as_py() else "<u2")
+                packed = batch.column("ids").to_pylist()
+                sizes = np.fromiter((len(b) // kind.itemsize for b in packed), np.int64, len(packed))
                 ends = before + np.cumsum(sizes)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), kind).astype(np.int32)))
                 yield rows(schema, [batch.column("part"), batch.column("doc_id"), ends - sizes, sizes, lists])
                 before = int(ends[-1])
 
@@ -116,7 +117,6 @@ def token_index(spark: SparkSession, out: str) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-        forget_pieces()
         for batch in batches:
             lists = batch.column("ids")
             values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()

@@ -2,8 +2,8 @@
 
 import os
 import re
-from collections.abc import Callable, Iterator
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -43,86 +43,138 @@ def blank_pieces(text: str) -> list[str]:
 
 
 class Pieces(dict):
-    """Ids of pieces of text: each new piece is encoded once and then known, up to a bound of pieces."""
+    """Ids of pieces of text as packed bytes: each new piece is encoded once and then known.
 
-    LIMIT = 1_500_000
+    What is known is bounded in bytes and lives as long as the task that made it.  Plain words
+    (letters up to U+02AF, with a blank before and a mark behind them or not) go to the
+    tokenizer's model itself: every pattern used here makes them words of their own, and
+    lowering is all that normalising does to them.  Whether that holds for a tokenizer is tried
+    on samples first; all other pieces, and those of tokenizers that fail, take the whole way.
+    """
+
+    MARKS = frozenset(".,;:!?")
+    SAMPLES = ("a", "Word", "WORDS", "the", "été", "Größe", "Àß", "niño", "ŒUVRE", "straße", "antidisestablishmentarianism", "xqzjkv", "ǅ", "ıI", "ª")
+
+    #: Bytes of pieces and ids, with what Python needs for an entry; longer pieces are not kept.
+    MOST_BYTES, ENTRY_BYTES, LONG_CHARS = 96 << 20, 220, 200
+    #: Characters of texts whose pieces are held at once, and pieces encoded in one string.
+    SLICE_CHARS, TOGETHER = 1 << 20, 64
 
     def __init__(self, tokenizer, split: Callable[[str], list[str]]):
-        self.tokenizer, self.split = tokenizer, split
-        self._forget()
-
-    def _forget(self):
-        self.clear()
-        self.new: list[str] = []
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
-        self.used = 0
-
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        at = self[piece] = len(self)
-        return at
-
-    def _learn(self):
-        if not self.new:
-            return
-        first = len(self) - len(self.new)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
-        self.new = []
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        while len(self.starts) < len(self):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while len(self.flat) < self.used + total:
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.lengths[first : len(self)] = lengths
-        self.starts[first : len(self)] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.used += total
-
-    def _known(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all pieces, and where each text's pieces end."""
-        if len(self) > self.LIMIT:
-            self._forget()
-        pieces = [self.split(t) for t in texts]
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        known = np.fromiter(map(self.__getitem__, chain.from_iterable(pieces)), np.int64, int(ends[-1]) if len(ends) else 0)
-        self._learn()
-        return known, ends
+        self.tokenizer, self.split, self.held = tokenizer, split, 0
+        self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        special = [t for t in tokenizer.get_added_tokens_decoder().values() if t.special]
+        # pieces are encoded side by side with a special string between them, whose id tells where one ends
+        plain = [t.content for t in special if not (t.lstrip or t.rstrip or t.normalized or t.single_word)]
+        self.between = plain[0] if plain else None
+        self.lowers = "Lowercase" in repr(tokenizer.normalizer)
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        # byte-level models see bytes as characters: those that cannot be shown are moved up, in order
+        moved = (b for b in range(256) if chr(b) not in ByteLevel.alphabet())
+        self.shown = {b: 256 + n for n, b in enumerate(moved)}
+        self.blank = chr(self.shown[0x20])
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        blank = split(" a")[0] == " a"  # whether words of this tokenizer may start with a blank
+        self.plain = False
+        trials = [w for sample in self.SAMPLES for w in (sample, f"{sample}.", *([f" {sample}"] if blank else []))]
+        whole = dict(zip(trials, self._alone(trials), strict=True))
+        self.marks = {m: self._alone([m])[0] for m in self.MARKS} | {"": b""}
+        self.plain = self._words(trials)[0] == {w: whole[w] for w in self._words(trials)[0]}
+
+    def _words(self, new: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
+        """The ids of those pieces that are plain words, and the other pieces."""
+        tokenize, found, other, stems = self.tokenizer.model.tokenize, {}, [], {}
+        for piece in new:
+            start = piece[:1] == " "
+            mark = piece[-1:] if piece[-1:] in self.MARKS else ""
+            word = piece[start : len(piece) - len(mark)]
+            if not word.isalpha() or not (word.isascii() or max(word) <= "\u02af"):
+                other.append(piece)
+                continue
+            if self.lowers:
+                word = word.lower()
+                if not word.isalpha():  # one letter can become a letter and a mark
+                    other.append(piece)
+                    continue
+            key = f" {word}" if start else word
+            ids = stems.get(key) or self.get(key)
+            if ids is None:
+                seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+                ids = stems[key] = array(self.code, [t.id for t in tokenize(self.blank + seen if start else seen)]).tobytes()
+            found[piece] = ids + self.marks[mark]
+        return found, other
+
+    def _alone(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        if self.between is None:
+            return self._alone(pieces)
+        mark, size, out = self.tokenizer.token_to_id(self.between), self.kind.itemsize, []
+        groups = [pieces[k : k + self.TOGETHER] for k in range(0, len(pieces), self.TOGETHER)]
+        strings = [self.between.join(g) for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            ends = np.flatnonzero(ids == mark).tolist()
+            if len(ends) != len(group) - 1:  # a piece holds the special string itself
+                out += self._alone(group)
+                continue
+            packed, start = ids.tobytes(), 0
+            for end in ends:
+                out.append(packed[start : end * size])
+                start = (end + 1) * size
+            out.append(packed[start:])
+        return out
+
+    def _for(self, pieces: list[list[str]]) -> Callable[[str], bytes]:
+        """The ids of any of ``pieces``; long ones are encoded for this once."""
+        if self.held > self.MOST_BYTES:
+            self.clear()
+            self.held = 0
+        new = set().union(*pieces).difference(self)
+        long = [p for p in new if len(p) > self.LONG_CHARS]
+        if long:
+            new.difference_update(long)
+        words, other = self._words(new) if self.plain else ({}, list(new))
+        words.update(zip(other, self._encoded(other), strict=True))
+        self.update(words)
+        self.held += sum(map(len, words)) + sum(map(len, words.values())) + self.ENTRY_BYTES * len(words)
+        if not long:
+            return self.__getitem__
+        once = dict(zip(long, self._alone(long), strict=True))
+        return lambda p: once[p] if p in once else self[p]
+
+    def packed(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as bytes of ``kind``."""
+        at = 0
+        while at < len(texts):
+            upto, chars = at, 0
+            while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= self.SLICE_CHARS):
+                chars += len(texts[upto])
+                upto += 1
+            pieces = [self.split(t) for t in texts[at:upto]]
+            known = self._for(pieces)
+            yield from (b"".join(map(known, p)) for p in pieces)
+            at = upto
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        known, ends = self._known(texts)
-        lengths = self.lengths[known]
-        upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        flat = self.flat[np.arange(upto[-1]) + np.repeat(self.starts[known] - upto[:-1], lengths)]
-        return np.split(flat, upto[ends][:-1]) if texts else []
+        return [np.frombuffer(b, self.kind) for b in self.packed(texts)]
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        known, ends = self._known(texts)
-        upto = np.concatenate([[0], np.cumsum(self.lengths[known], dtype=np.int64)])
-        return np.diff(upto[ends], prepend=0)
-
-
-def pieces_of(path: str, split: Callable[[str], list[str]]) -> Pieces:
-    """The Python worker's own memory of pieces, kept from task to task as workers are reused."""
-    kept = vars(public_tokenizers).setdefault("_known_pieces", {})
-    key = (path, split.__name__)
-    if key not in kept:
-        kept[key] = Pieces(load(path), split)
-    return kept[key]
-
+        return np.fromiter((len(b) // self.kind.itemsize for b in self.packed(texts)), np.int64, len(texts))
 
-def forget_pieces() -> None:
-    """Drop what this Python worker remembers; for tasks that follow the encoding in the same workers."""
-    vars(public_tokenizers).get("_known_pieces", {}).clear()
+    def sizes(self, pieces: list[str]) -> np.ndarray:
+        """Ids of each piece of one text."""
+        known = self._for([pieces])
+        return np.fromiter((len(known(p)) // self.kind.itemsize for p in pieces), np.int64, len(pieces))
 
 
 def _blank_marks(pieces: Pieces, text: str, a: int, b: int) -> tuple[dict[int, int], int]:
     """Offsets in ``text[a:b]`` where a piece starts with the tokens before, and the number of all tokens."""
     parts = pieces.split(text[a:b])
-    known, _ = pieces._known([text[a:b]])
     places = a + np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-    before = np.concatenate([[0], np.cumsum(pieces.lengths[known], dtype=np.int64)])
+    before = np.concatenate([[0], np.cumsum(pieces.sizes(parts), dtype=np.int64)])
     return dict(zip(places[:-1].tolist(), before[:-1].tolist(), strict=True)), int(before[-1])
 
 

@@ -1,10 +1,14 @@
 """Every operator against a plain version of it, on small tables with the awkward cases."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -174,7 +178,7 @@ def test_token_counts(docs, rows, empty):
 
 
 def test_pieces_encode_as_the_whole():
-    parts = ["a", "Word", "l'été", " ", "  ", "\n", " \n", "\t", "\x1c", " ", "́", "Σ", "İ", "12", "'s", "!!", "<|endoftext|>", "<|endof", "日本", "😀"]
+    parts = ["a", "Word", "l'été", " ", "  ", "\n", " \n", "\t", "\x1c", " ", "́", "Σ", "İ", "12", "'s", "!!", "<|endoftext|>", "<|endof", "日本", "😀", "Größe", "WORD.", " niño,", "Ǆ", "İI.", "ª;", "x" * 300, "été:"]
     for path, split in ((tokens.WORD_BPE, tokens.word_pieces), (tokens.BYTE_BPE, tokens.blank_pieces)):
         tokenizer = tokens.load(path)
         pieces = tokens.Pieces(tokenizer, split)
@@ -183,6 +187,7 @@ def test_pieces_encode_as_the_whole():
             text = "".join(rng.choice(parts) * rng.choice([1, 1, 1, 9]) for _ in range(rng.randint(0, 20)))
             ids = tokenizer.encode(text, add_special_tokens=False).ids
             assert pieces.ids([text])[0].tolist() == ids
+            pieces.MOST_BYTES = 2_000 if k % 2 else 1 << 20
             if path == tokens.BYTE_BPE:
                 assert sum(n for _, _, n in tokens.chunked_spans(pieces, text, 20, 4)) == len(ids)
 
@@ -282,8 +287,26 @@ def test_mixing(docs, rows, empty):
         taken[r._source] += r._taken
     assert all(abs(taken[s] - goal[s]) <= 16 + 0.05 * goal[s] for s in order)
     assert mix(empty)[0].count() == 0
-    copies = mixed_documents(docs, block=16)
+    output = mix(docs, block=16)[1].collect()
+    for shard in {r.shard for r in output}:  # places have no gaps, and every slot is a run of at most 16 words of one block
+        slots = {}
+        for r in output:
+            if r.shard == shard:
+                slots.setdefault(r.place, []).append(r)
+        assert sorted(slots) == list(range(len(slots)))
+        for own in slots.values():
+            ends = sorted((r._begin + r.from_word, r._begin + r.to_word) for r in own)
+            assert len({(r.source_number, r.block) for r in own}) == 1 and ends[0][0] % 16 == 0 and ends[-1][1] - ends[0][0] <= 16
+            assert all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    assert sum(r.to_word - r.from_word for r in output) == sum(taken.values())
+    copies = mixed_documents(docs)
     assert copies.columns == docs.columns and copies.count() > 0
+    words = Counter()
+    for r in copies.collect():
+        words[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    most = {s: max((len((t or "").split()) for _, t, _, source, *_ in rows if source == s), default=0) for s in order}
+    assert all(abs(words[s] - goal[s]) <= most[s] for s in order)
+    assert mixed_documents(empty).count() == 0
     assert mixing.targets([10, 10, 100], [3, 1, 1]) == [30.0, 30.0, 60.0]
     image = mixing._permuted(np.arange(1000), 1000, 5)
     assert sorted(image.tolist()) == list(range(1000))
@@ -391,3 +414,43 @@ def test_sharding(spark, docs, rows, empty):
     texts = {r[0]: r[1] or "" for r in rows}
     assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in found if r.doc_id is not None and r.doc_id in texts)
     assert histogram_shards(empty).count() == 0
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """The driver alone can import it: another working folder, no PYTHONPATH."""
+    repo = str(Path(corpus_pipeline.__file__).parent)
+    code = f"""
+import sys; sys.path.append({repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from retail_lake.llm.ngram_join import ngram_jaccard_join
+from retail_lake.llm.repair import repair_report
+from retail_lake.llm.spelling import spelling_variants
+docs = spark.createDataFrame([(k, "one two three four five six seven" + " x" * (k // 2)) for k in range(8)], "doc_id long, text string")
+print("ROWS", ngram_jaccard_join(docs).count(), spelling_variants(docs, 3, 1).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "ROWS 8 " in done.stdout, done.stderr[-2000:]
+
+
+def test_stages_on_awkward_documents(spark, docs, rows):
+    """Every stage that hands on documents keeps their columns, whatever these are called."""
+    odd = docs.withColumns({"kept_text": F.lit("k"), "own_text": F.lit("o"), "odd name: x": F.lit(1), "_copies": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for frame in (odd, odd.limit(0)):
+            kept = stage(spark, frame, "/root/testdata/sf0.001")
+            assert kept.columns == odd.columns, name
+            found = kept.select("kept_text", "own_text", "`odd name: x`", "_copies").distinct().collect()
+            assert found == [("k", "o", 1, 2)] or (not found and frame is not odd), name
+    index = corpus_pipeline.token_files(spark, odd, "")
+    assert index.count() == len(rows)
+
+
+def test_pipeline_run(spark):
+    sf = "/root/testdata/sf0.001"
+    index = corpus_pipeline.run(spark, sf).collect()
+    starts = sorted((r.start, r.n_tokens) for r in index)
+    assert len(index) > 50 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id for r in index} <= ids
