@@ -3,7 +3,7 @@
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -42,68 +42,83 @@ def blank_pieces(text: str) -> list[str]:
     return ([first] if first else []) + [" " + p for p in rest if p] + [" "] * (text.endswith(" "))
 
 
+# Letters, digits and white space of the first 256 characters, as the patterns of the tokenizers have them.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+#: The words of the two patterns in texts of these characters: white space dropped, or one blank kept before a word.
+_PATTERNS = {
+    word_pieces: re.compile(rf"{_ENDINGS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
+    blank_pieces: re.compile(rf"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
+}
+
+
+class Words(dict):
+    """Ids of the words of a pattern as packed bytes, from the tokenizer's model; each is asked once, up to a bound in bytes."""
+
+    def __init__(self, tokenizer, code: str, most_bytes: int):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenize, self.code, self.most_bytes, self.held = tokenizer.model.tokenize, code, most_bytes, 0
+        # byte-level models see bytes as characters: those that cannot be shown are moved up, in order
+        moved = (b for b in range(256) if chr(b) not in ByteLevel.alphabet())
+        self.shown = {b: 256 + n for n, b in enumerate(moved)}
+
+    def __missing__(self, word: str) -> bytes:
+        if self.held > self.most_bytes:
+            self.clear()
+            self.held = 0
+        seen = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.shown)
+        ids = array(self.code, [t.id for t in self.tokenize(seen)]).tobytes()
+        if len(word) <= Pieces.LONG_CHARS:
+            self[word] = ids
+            self.held += len(word) + len(ids) + Pieces.ENTRY_BYTES
+        return ids
+
+
 class Pieces(dict):
     """Ids of pieces of text as packed bytes: each new piece is encoded once and then known.
 
-    What is known is bounded in bytes and lives as long as the task that made it.  Plain words
-    (letters up to U+02AF, with a blank before and a mark behind them or not) go to the
-    tokenizer's model itself: every pattern used here makes them words of their own, and
-    lowering is all that normalising does to them.  Whether that holds for a tokenizer is tried
-    on samples first; all other pieces, and those of tokenizers that fail, take the whole way.
+    What is known is bounded in bytes and lives as long as the task that made it.  Texts of the
+    first 256 characters without special strings, which normalising leaves as they are but for
+    lowering, are cut by the tokenizer's pattern itself and their words given to its model.
+    Whether that holds for a tokenizer is tried on samples first; all other texts, and those of
+    tokenizers that fail, are cut at blanks and their pieces take the whole way.
     """
 
-    MARKS = frozenset(".,;:!?")
-    SAMPLES = ("a", "Word", "WORDS", "the", "été", "Größe", "Àß", "niño", "ŒUVRE", "straße", "antidisestablishmentarianism", "xqzjkv", "ǅ", "ıI", "ª")
-
+    SAMPLES = (
+        "The WORDS of Größe, été and niño's 12³ co-op!? x_1 ½ª µm",
+        "  two  blanks\n\nand\ttabs \xa0 end ",
+        "it'S don't 'll'd ''s a.b,c;d {x} £5÷2×3 «oui» ÀÿÞß",
+    )
     #: Bytes of pieces and ids, with what Python needs for an entry; longer pieces are not kept.
-    MOST_BYTES, ENTRY_BYTES, LONG_CHARS = 96 << 20, 220, 200
-    #: Characters of texts whose pieces are held at once, and pieces encoded in one string.
-    SLICE_CHARS, TOGETHER = 1 << 20, 64
+    MOST_BYTES, ENTRY_BYTES, LONG_CHARS = 64 << 20, 220, 200
+    #: Pieces looked up at once, and pieces encoded in one string.
+    SLICE_PIECES, TOGETHER = 1 << 17, 64
 
     def __init__(self, tokenizer, split: Callable[[str], list[str]]):
         self.tokenizer, self.split, self.held = tokenizer, split, 0
         self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        special = [t for t in tokenizer.get_added_tokens_decoder().values() if t.special]
+        added = list(tokenizer.get_added_tokens_decoder().values())
         # pieces are encoded side by side with a special string between them, whose id tells where one ends
-        plain = [t.content for t in special if not (t.lstrip or t.rstrip or t.normalized or t.single_word)]
+        plain = [t.content for t in added if t.special and not (t.lstrip or t.rstrip or t.normalized or t.single_word)]
         self.between = plain[0] if plain else None
+        self.starts = {t.content[:2] for t in added}
         self.lowers = "Lowercase" in repr(tokenizer.normalizer)
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        # byte-level models see bytes as characters: those that cannot be shown are moved up, in order
-        moved = (b for b in range(256) if chr(b) not in ByteLevel.alphabet())
-        self.shown = {b: 256 + n for n, b in enumerate(moved)}
-        self.blank = chr(self.shown[0x20])
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        blank = split(" a")[0] == " a"  # whether words of this tokenizer may start with a blank
-        self.plain = False
-        trials = [w for sample in self.SAMPLES for w in (sample, f"{sample}.", *([f" {sample}"] if blank else []))]
-        whole = dict(zip(trials, self._alone(trials), strict=True))
-        self.marks = {m: self._alone([m])[0] for m in self.MARKS} | {"": b""}
-        self.plain = self._words(trials)[0] == {w: whole[w] for w in self._words(trials)[0]}
-
-    def _words(self, new: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
-        """The ids of those pieces that are plain words, and the other pieces."""
-        tokenize, found, other, stems = self.tokenizer.model.tokenize, {}, [], {}
-        for piece in new:
-            start = piece[:1] == " "
-            mark = piece[-1:] if piece[-1:] in self.MARKS else ""
-            word = piece[start : len(piece) - len(mark)]
-            if not word.isalpha() or not (word.isascii() or max(word) <= "\u02af"):
-                other.append(piece)
-                continue
-            if self.lowers:
-                word = word.lower()
-                if not word.isalpha():  # one letter can become a letter and a mark
-                    other.append(piece)
-                    continue
-            key = f" {word}" if start else word
-            ids = stems.get(key) or self.get(key)
-            if ids is None:
-                seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
-                ids = stems[key] = array(self.code, [t.id for t in tokenize(self.blank + seen if start else seen)]).tobytes()
-            found[piece] = ids + self.marks[mark]
-        return found, other
+        self.words = Words(tokenizer, "H" if self.kind.itemsize == 2 else "I", self.MOST_BYTES)
+        self.pattern = _PATTERNS.get(split)
+        wholes = self._alone(list(self.SAMPLES))
+        if self.pattern and any(self._by_words(t) != ids for t, ids in zip(self.SAMPLES, wholes, strict=True)):
+            self.pattern = None
+
+    def _by_words(self, text: str) -> bytes | None:
+        """The ids of a text by the words of the pattern, if it is a text of that kind."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if any(s in text for s in self.starts):
+            return None
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(text.lower() if self.lowers else text)))
 
     def _alone(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -134,12 +149,10 @@ class Pieces(dict):
             self.held = 0
         new = set().union(*pieces).difference(self)
         long = [p for p in new if len(p) > self.LONG_CHARS]
-        if long:
-            new.difference_update(long)
-        words, other = self._words(new) if self.plain else ({}, list(new))
-        words.update(zip(other, self._encoded(other), strict=True))
-        self.update(words)
-        self.held += sum(map(len, words)) + sum(map(len, words.values())) + self.ENTRY_BYTES * len(words)
+        short = list(new.difference(long)) if long else list(new)
+        found = self._encoded(short)
+        self.update(zip(short, found, strict=True))
+        self.held += sum(map(len, short)) + sum(map(len, found)) + self.ENTRY_BYTES * len(short)
         if not long:
             return self.__getitem__
         once = dict(zip(long, self._alone(long), strict=True))
@@ -147,16 +160,16 @@ class Pieces(dict):
 
     def packed(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as bytes of ``kind``."""
-        at = 0
-        while at < len(texts):
-            upto, chars = at, 0
-            while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= self.SLICE_CHARS):
-                chars += len(texts[upto])
-                upto += 1
-            pieces = [self.split(t) for t in texts[at:upto]]
-            known = self._for(pieces)
-            yield from (b"".join(map(known, p)) for p in pieces)
-            at = upto
+        for text in texts:
+            ids = self._by_words(text) if self.pattern else None
+            if ids is None:
+                ids = b"".join(self._in_pieces(self.split(text)))
+            yield ids
+
+    def _in_pieces(self, pieces: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(pieces), self.SLICE_PIECES):
+            own = pieces[at : at + self.SLICE_PIECES]
+            yield from map(self._for([own]), own)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b, self.kind) for b in self.packed(texts)]

@@ -182,12 +182,15 @@ def test_pieces_encode_as_the_whole():
     for path, split in ((tokens.WORD_BPE, tokens.word_pieces), (tokens.BYTE_BPE, tokens.blank_pieces)):
         tokenizer = tokens.load(path)
         pieces = tokens.Pieces(tokenizer, split)
+        assert pieces.pattern is not None
         for k in range(1500):
             rng = random.Random(k)
             text = "".join(rng.choice(parts) * rng.choice([1, 1, 1, 9]) for _ in range(rng.randint(0, 20)))
             ids = tokenizer.encode(text, add_special_tokens=False).ids
             assert pieces.ids([text])[0].tolist() == ids
-            pieces.MOST_BYTES = 2_000 if k % 2 else 1 << 20
+            pieces.MOST_BYTES = pieces.words.most_bytes = 2_000 if k % 2 else 1 << 20
+            first = "".join(chr(rng.choice([rng.randint(0, 255), rng.choice(b" '\ns.Aa1")])) for _ in range(rng.randint(0, 60)))
+            assert pieces.ids([first])[0].tolist() == tokenizer.encode(first, add_special_tokens=False).ids, repr(first)
             if path == tokens.BYTE_BPE:
                 assert sum(n for _, _, n in tokens.chunked_spans(pieces, text, 20, 4)) == len(ids)
 
