@@ -19,11 +19,26 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+#: Bytes of rows handed to Python at once; rows may hold whole groups.
+BATCH_BYTES = "16m"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Meanwhile batches of rows for Python are bounded in bytes, not in number alone.
+    """
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    path, before = work_path(spark, label), spark.conf.get(setting, None)
+    spark.conf.set(setting, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
