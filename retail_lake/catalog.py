@@ -24,7 +24,7 @@ from retail_lake.operators import (
     text_index,
 )
 from retail_lake.plans import context, medallion, training
-from retail_lake.schema import ANOMALY_FEATURES, CATEGORIES, RAW_COLUMNS
+from retail_lake.schema import ANOMALY_FEATURES, CATEGORIES, CORRUPT_COLUMN, RAW_COLUMNS
 from retail_lake.sources import csv_files, documents, tables
 from retail_lake.sources.star_schema import raw_transactions, table, transactions
 from retail_lake.staging import stage, work_path
@@ -201,10 +201,11 @@ def sink_csv(spark, d):
 
 
 def _appended(spark, rows: DataFrame, name: str, keys: list, measures: list, stamp: str) -> DataFrame:
-    """Create the serving tables, append, and summarise what the table then holds."""
+    """Create the serving tables, append a run, repeat it, and summarise what the table then holds."""
     database = _database(spark, "serving")
-    tables.create_serving_tables(spark, database)
-    tables.append_table(rows, f"{database}.{name}")
+    tables.create_serving_tables(spark, database, by_run=True)
+    for _ in range(2):
+        tables.append_run(rows, f"{database}.{name}", "run-1")
     return spark.table(f"{database}.{name}").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.count(stamp).alias("stamped"), *measures
     )
@@ -236,7 +237,7 @@ def _naive_week(spark, d):
 
 @query
 def sink_append_forecast(spark, d):
-    rows = tables.forecast_rows(_naive_week(spark, d))
+    rows = tables.forecast_rows(_naive_week(spark, d), "naive_week")
     measures = [F.max("predicted_revenue").alias("predicted_revenue")]
     keys = ["forecast_date", "product_category", "model_version"]
     return _appended(spark, rows, "daily_forecasts", keys, measures, "created_at")
@@ -245,7 +246,7 @@ def sink_append_forecast(spark, d):
 @query
 def sink_forecast_csv(spark, d):
     path = csv_files.write_csv(_naive_week(spark, d), work_path(spark, "forecast"))
-    return csv_files.read_inferred(spark, path)
+    return csv_files.read_inferred(spark, path).drop(CORRUPT_COLUMN)
 
 
 @query
@@ -786,9 +787,8 @@ def vector_report(spark, d):
 def context_assembly(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
     chunks = retrieval.chunk_documents(docs).withColumns({"title": F.lit(""), "prior": F.lit(0.0)})
-    ids = ["doc_id", "chunk_id", "source", "chunk_text"]
     found = retrieval.keyword_search(
-        chunks, SEARCHES, ids, k=4, content="chunk_text", category="lang", prior="prior"
+        chunks, SEARCHES, ["doc_id", "chunk_id"], k=4, content="chunk_text", category="lang", prior="prior", carried=["source", "chunk_text"]
     )
     return retrieval.assemble_context(found)
 

@@ -347,18 +347,20 @@ def _expectations() -> str:
 
 
 def _context() -> str:
+    score = "CAST(CAST(anomaly_score AS DECIMAL(18, 4)) AS VARCHAR)"
     money = lambda c: f"CAST(CAST({c} AS DECIMAL(18, 2)) AS VARCHAR)"
     year = "date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'"
     sums = " || ' ' || ".join(money(f"round({f}(daily_revenue), 2)") for f in ("sum", "avg", "max", "min"))
     months = " || ' ' || ".join(money(f"round(coalesce(sum(daily_revenue) FILTER (product_category = '{c}'), 0), 2)") for c in CATEGORIES)
     return f"""WITH {flagged()}, top AS (
-  SELECT * FROM scored WHERE anomaly_flag = 1 ORDER BY revenue_z_score DESC, date, product_category LIMIT 10)
+  SELECT *, row_number() OVER (ORDER BY revenue_z_score DESC, date, product_category) AS place
+  FROM scored WHERE anomaly_flag = 1 ORDER BY revenue_z_score DESC, date, product_category LIMIT 10)
 SELECT 1 AS section_no, 'SALES SUMMARY (1997)' AS section, product_category AS line_key, product_category || ' ' || {sums} AS line
 FROM scored WHERE {year} GROUP BY product_category
 UNION ALL SELECT 2, 'MONTHLY REVENUE BY CATEGORY', lpad(CAST(month(date) AS VARCHAR), 2, '0'), monthname(date) || ' ' || {months}
 FROM scored WHERE {year} GROUP BY month(date), monthname(date)
-UNION ALL SELECT 3, 'TOP 10 ANOMALOUS DAYS', strftime(date, '%Y-%m-%d') || ' ' || product_category,
-       strftime(date, '%Y-%m-%d') || ' ' || product_category || ' ' || {money('daily_revenue')} || ' ' || {money('revenue_z_score')} FROM top
+UNION ALL SELECT 3, 'TOP 10 ANOMALOUS DAYS', lpad(CAST(place AS VARCHAR), 2, '0'),
+       strftime(date, '%Y-%m-%d') || ' ' || product_category || ' ' || {money('daily_revenue')} || ' ' || {money('revenue_z_score')} || ' ' || {score} FROM top
 UNION ALL SELECT 4, 'ANOMALY COUNT BY CATEGORY', product_category, product_category || ' ' || CAST(count(*) AS VARCHAR)
 FROM scored WHERE anomaly_flag = 1 GROUP BY product_category"""
 
@@ -422,7 +424,7 @@ FROM tx GROUP BY gender, age""",
        count(*) AS rows, count(*) AS stamped, count(date) AS dates, CAST(sum(coalesce(age, 0)) AS BIGINT) AS ages,
        CAST(sum(coalesce(quantity, 0)) AS BIGINT) AS quantity, {rx('sum(coalesce(total_amount, 0))', 'amount', 2)}
 FROM typed GROUP BY 1, 2""",
-        "sink_append_forecast": f"""WITH {WEEK} SELECT {day('date', 'forecast_date')}, product_category, 'gbt_v1' AS model_version,
+        "sink_append_forecast": f"""WITH {WEEK} SELECT {day('date', 'forecast_date')}, product_category, 'naive_week' AS model_version,
        1 AS rows, 1 AS stamped, {r('predicted_revenue')} FROM week""",
         "sink_forecast_csv": f"WITH {WEEK} SELECT {day('date')}, product_category, {r('predicted_revenue')}, anomaly_flag FROM week",
         "sink_append_anomaly": f"""WITH {flagged()} SELECT product_category, anomaly_flag, count(*) AS rows, count(*) AS stamped,

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from retail_lake.operators import metrics
 from retail_lake.schema import CATEGORIES
@@ -23,13 +24,17 @@ def _section(df: DataFrame, number: int, title: str, order: list[Column], line:
 def sales_context(daily: DataFrame, scored: DataFrame, year: int, by: str = "anomaly_score") -> DataFrame:
     """Lines of the sales context: (section_no, section, line_key, line), sorted by section and key.
 
-    ``daily`` has a row per day and category, ``scored`` the flagged rows; ``by`` ranks the anomalies.
+    ``daily`` has a row per day and category, ``scored`` the flagged rows; ``by`` ranks the
+    anomalies, whose lines stand in that order and end with the anomaly score.
     """
     summary = metrics.sales_summary(daily, year)
     pivot = metrics.monthly_pivot(daily, CATEGORIES, year)
     flagged = scored.where("anomaly_flag = 1")
-    top = metrics.top_anomalies(flagged, by)
+    # ten rows by now, so one task may number them
+    place = F.row_number().over(Window.orderBy(F.desc(by), "date", "product_category"))
+    top = metrics.top_anomalies(flagged, by).withColumn("place", place)
     counts = flagged.groupBy("product_category").agg(F.count(F.lit(1)).alias("anomalies"))
+    # Titles of the sections.
     sections = [
         _section(
             summary, 1, f"SALES SUMMARY ({year})", [F.col("product_category")],
@@ -41,10 +46,11 @@ def sales_context(daily: DataFrame, scored: DataFrame, year: int, by: str = "ano
         ),
         _section(
             top, 3, "TOP 10 ANOMALOUS DAYS",
-            [F.date_format("date", "yyyy-MM-dd"), F.col("product_category")],
+            [F.lpad(F.col("place").cast("string"), 2, "0")],
             F.concat_ws(
                 " ", F.date_format("date", "yyyy-MM-dd"), "product_category", _money("daily_revenue"),
                 F.col("revenue_z_score").cast("decimal(18,2)").cast("string"),
+                F.col("anomaly_score").cast("decimal(18,4)").cast("string"),
             ),
         ),
         _section(

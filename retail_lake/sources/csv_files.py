@@ -13,7 +13,6 @@ from retail_lake.schema import (
     RAW_COLUMNS,
     RAW_SCHEMA_CHECKED,
     missing_columns,
-    normalise_headers,
 )
 from retail_lake.staging import stage
 
@@ -97,15 +96,14 @@ def bind(found: DataFrame, heads: DataFrame, columns: list[str]) -> DataFrame:
 def read_raw(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """All columns of all files as text, by name, and the corrupt column; a column that a file lacks is null there.
 
-    ``multi_line`` reads
-    values with line breaks in quotes: then all files need one header, or the read fails, and
-    each file is read by one task.
+    ``multi_line`` reads values with line breaks in quotes: files are then read by one task each,
+    those of each header together, and a record that does not fit is kept whole in the corrupt
+    column just so.
     """
-    if multi_line:
-        raw = spark.read.csv(path, header=True, enforceSchema=False, pathGlobFilter="*.csv", escape='"', multiLine=True)
-        return normalise_headers(raw).withColumn(CORRUPT_COLUMN, F.lit(None).cast("string"))
     found = lines(spark.read, path)
     heads = headers(found)
+    if multi_line:
+        return _read_multi_line(spark, heads)
     # as many rows as there are different column names
     names = heads.select(F.explode("names").alias("name")).where("name <> ''").distinct().collect()
     named = {r["name"] for r in names}
@@ -113,6 +111,33 @@ def read_raw(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     return bind(found, heads, columns).select(*[f"`{c}`" for c in columns if c != CORRUPT_COLUMN], CORRUPT_COLUMN)
 
 
+def _read_multi_line(spark: SparkSession, heads: DataFrame) -> DataFrame:
+    """All files by the layouts of their headers; the driver sees the list of files, as for any read."""
+    layouts = heads.groupBy("names").agg(F.collect_list("file_path").alias("files")).collect()
+    read = []
+    for layout in layouts:
+        # columns are read by place, as a file may name one twice or not at all
+        places = [f"_place{k}" for k in range(len(layout.names))]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*places, CORRUPT_COLUMN]])
+        rows = spark.read.schema(schema).csv(
+            layout.files, header=True, escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT_COLUMN
+        )
+        fits = F.col(CORRUPT_COLUMN).isNull()
+        named: dict[str, Column] = {}
+        for place, name in zip(places, layout.names, strict=True):
+            if name:
+                named.setdefault(name, F.when(fits, F.col(place)))
+        read.append(rows.select(*[v.alias(c) for c, v in named.items() if c != CORRUPT_COLUMN], CORRUPT_COLUMN))
+    if not read:
+        return spark.createDataFrame([], T.StructType([T.StructField(CORRUPT_COLUMN, T.StringType())]))
+    whole = read[0]
+    for more in read[1:]:
+        whole = whole.unionByName(more, allowMissingColumns=True)
+    columns = [c for c in RAW_COLUMNS if c in whole.columns]
+    columns += sorted(c for c in whole.columns if c not in columns and c != CORRUPT_COLUMN)
+    return whole.select(*[f"`{c}`" for c in columns], CORRUPT_COLUMN)
+
+
 def read_with_schema(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA_CHECKED) -> DataFrame:
     """Read the columns of a schema by name; rows that do not fit it keep their text in the corrupt column."""
     wanted = [f for f in schema.fields if f.name != CORRUPT_COLUMN]
@@ -127,11 +152,33 @@ def read_with_schema(spark: SparkSession, path: str, schema: T.StructType = RAW_
     return rows.select(*[v.alias(c) for c, v in typed.items()], corrupt.alias(CORRUPT_COLUMN))
 
 
+#: Types that inference tries, narrowest first; what fits none stays text.
+INFERRED = ["int", "bigint", "double", "date", "timestamp", "boolean"]
+
+
 def read_inferred(spark: SparkSession, path: str) -> DataFrame:
-    """Read a CSV export of unknown types; inference costs one more pass over the files."""
-    return normalise_headers(
-        spark.read.csv(path, header=True, inferSchema=True, pathGlobFilter="*.csv", escape='"')
-    )
+    """Read CSV files of unknown types by name, with the corrupt column; inference costs one more pass over the files.
+
+    A column has the first of ``INFERRED`` that all its values fit; values are bound by the header
+    of their own file, as everywhere in this module.
+    """
+    # staged, so that the lines are not split again for every type that is tried, nor for the result
+    raw = stage(read_raw(spark, path))
+    columns = [c for c in raw.columns if c != CORRUPT_COLUMN]
+    if not columns:
+        return raw
+    # a bit for each type that some value of a column does not fit; one expression for all columns
+    misfit = F.lit(0)
+    for k, kind in enumerate(INFERRED):
+        misfit = misfit + F.when(F.col("value").try_cast(kind).isNull(), 1 << k).otherwise(0)
+    values = raw.select(F.posexplode(F.array(*[f"`{c}`" for c in columns])).alias("place", "value")).where("value IS NOT NULL")
+    seen = {r.place: r.misfits for r in values.groupBy("place").agg(F.bit_or(misfit).alias("misfits")).collect()}
+    every = (1 << len(INFERRED)) - 1
+    kinds = [
+        next((kind for k, kind in enumerate(INFERRED) if not seen.get(i, every) >> k & 1), "string") for i in range(len(columns))
+    ]
+    typed = [F.col(f"`{c}`").try_cast(k).alias(c) for c, k in zip(columns, kinds, strict=True)]
+    return raw.select(*typed, CORRUPT_COLUMN)
 
 
 def read_uploads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,7 @@
 """Catalog tables: overwrite of medallion tables, append to the serving tables."""
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +33,26 @@ def create_database(spark: SparkSession, name: str, location: str | None = None)
 def overwrite_table(
     df: DataFrame, table: str, fmt: str = "parquet", partition_by: list[str] | None = None
 ) -> DataFrame:
-    """Replace a table, schema included, and return it as read back."""
-    writer = df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true")
+    """Replace a table, schema included, and return it as read back.
+
+    The rows go to a new version folder first and the table is then pointed to it, so a failed
+    write leaves the old table as it was, and a query that runs keeps the files it began with.
+    Versions stay until the folder is cleaned up.
+    """
+    spark = df.sparkSession
+    database, _, name = table.rpartition(".")
+    root = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
+    version = f"{root.rstrip('/')}/{name}/version-{uuid4().hex}"
+    writer = df.write.format(fmt)
+    (writer.partitionBy(*partition_by) if partition_by else writer).save(version)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    parts = f" PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})" if partition_by else ""
+    # only entries of the catalog change from here on; the files of the old version are no longer the table's
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING {fmt}{parts} LOCATION '{version}'")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(table)
-    return df.sparkSession.table(table)
+        spark.sql(f"MSCK REPAIR TABLE {table}")
+    return spark.table(table)
 
 
 def with_run_columns(df: DataFrame, run_id: str, run_date: str) -> DataFrame:
@@ -44,9 +60,11 @@ def with_run_columns(df: DataFrame, run_id: str, run_date: str) -> DataFrame:
     return df.withColumns({"pipeline_run_id": F.lit(run_id), "run_date": F.to_date(F.lit(run_date))})
 
 
-def create_serving_tables(spark: SparkSession, database: str) -> None:
+def create_serving_tables(spark: SparkSession, database: str, by_run: bool = False) -> None:
+    """The serving tables; ``by_run`` adds a column ``run_id`` for :func:`append_run`."""
+    run = ", run_id STRING) USING parquet PARTITIONED BY (run_id)" if by_run else ") USING parquet"
     for table, columns in SERVING_TABLES.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{table} ({columns}) USING parquet")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{table} ({columns}{run}")
 
 
 def _fit(df: DataFrame, table: str) -> DataFrame:
@@ -98,6 +116,15 @@ def append_table(rows: DataFrame, table: str) -> None:
     rows.write.mode("append").insertInto(table)
 
 
+def append_run(rows: DataFrame, table: str, run_id: str) -> None:
+    """Append the rows of one run to a table made ``by_run``; a run that is repeated replaces its own rows.
+
+    Other runs are not touched; a repeated run without rows leaves none.
+    """
+    name = run_id.replace("\\", "\\\\").replace("'", "\\'")
+    rows.sparkSession.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (run_id = '{name}') SELECT * FROM {{rows}}", rows=rows)
+
+
 def append_jdbc(rows: DataFrame, url: str, table: str, batch_size: int = 10_000, connections: int = 16) -> None:
     """Append over JDBC in batches, one transaction per partition.
 

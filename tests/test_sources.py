@@ -191,3 +191,49 @@ def test_staged_rows_are_kept(spark):
     df = staging.stage(spark.range(10).withColumn("r", F.rand()))
     assert df.collect() == df.collect()
     assert staging.work_path(spark, "x") != staging.work_path(spark, "x")
+
+
+def test_multi_line_files_of_two_layouts(spark, tmp_path):
+    put(tmp_path, "a.csv", "x,y", '1,"two\nlines"', "3,4,5", "6")
+    path = put(tmp_path, "b.csv", "y,x,z", '"a ""q""",7,8')
+    rows = csv_files.read_raw(spark, path, multi_line=True).collect()
+    fitting = {(r.x, r.y, r.z) for r in rows if r._corrupt is None}
+    assert fitting == {("1", "two\nlines", None), ("7", 'a "q"', "8")}
+    assert {r._corrupt.strip() for r in rows if r._corrupt is not None} == {"3,4,5", "6"}
+    assert all((r.x, r.y, r.z) == (None, None, None) for r in rows if r._corrupt is not None)
+
+
+def test_inference_binds_by_name_and_loses_nothing(spark, tmp_path):
+    put(tmp_path, "a.csv", "x,y,d", "1,2,2024-01-05", "9,9,9,9")
+    path = put(tmp_path, "b.csv", "y,x,d", "20,3000000000,2024-02-01", ",4.0,")
+    found = csv_files.read_inferred(spark, path)
+    assert [t for _, t in found.dtypes] == ["date", "double", "int", "string"] and found.columns == ["d", "x", "y", "_corrupt"]
+    rows = {(r.x, r.y, str(r.d)) for r in found.where("_corrupt IS NULL").collect()}
+    assert rows == {(1.0, 2, "2024-01-05"), (3e9, 20, "2024-02-01"), (4.0, None, "None")}
+    assert [r._corrupt for r in found.where("_corrupt IS NOT NULL").collect()] == ["9,9,9,9"]
+
+
+def test_repeated_run_replaces_its_own_rows(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE t_runs LOCATION '{tmp_path}/runs'")
+    tables.create_serving_tables(spark, "t_runs", by_run=True)
+    day = spark.createDataFrame([("2024-01-01", "Beauty", 5.0), ("2024-01-02", "Beauty", 6.0)], "date string, product_category string, predicted_revenue double")
+    for run, rows in (("a", day), ("b'\\", day.limit(1)), ("c", day), ("a", day), ("b'\\", day), ("c", day.limit(0))):
+        tables.append_run(tables.forecast_rows(rows, "v"), "t_runs.daily_forecasts", run)
+    counts = {r.run_id: r["count"] for r in spark.table("t_runs.daily_forecasts").groupBy("run_id").count().collect()}
+    assert counts == {"a": 2, "b'\\": 2}
+    spark.sql("DROP DATABASE t_runs CASCADE")
+
+
+def test_failed_overwrite_leaves_the_old_table(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE t_swap LOCATION '{tmp_path}/swap'")
+    old = tables.overwrite_table(spark.range(5).withColumn("p", F.col("id") % 2), "t_swap.t", partition_by=["p"])
+    assert old.count() == 5 and spark.table("t_swap.t").where("p = 1").count() == 2
+    broken = spark.range(50).select(F.when(F.col("id") == 49, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        tables.overwrite_table(broken, "t_swap.t")
+    assert {r.id for r in spark.table("t_swap.t").collect()} == set(range(5))
+    tables.overwrite_table(spark.range(5), "t_swap.t")
+    reader = spark.table("t_swap.t")
+    new = tables.overwrite_table(spark.range(3).select(F.col("id").cast("string").alias("name")), "t_swap.t")
+    assert new.columns == ["name"] and new.count() == 3 and reader.count() == 5
+    spark.sql("DROP DATABASE t_swap CASCADE")
