@@ -150,7 +150,9 @@ class Pieces(dict):
         new = set().union(*pieces).difference(self)
         long = [p for p in new if len(p) > self.LONG_CHARS]
         short = list(new.difference(long)) if long else list(new)
-        found = self._encoded(short)
+        found = [self._by_words(p) for p in short] if self.pattern else [None] * len(short)
+        rest = iter(self._encoded([p for p, ids in zip(short, found, strict=True) if ids is None]))
+        found = [next(rest) if ids is None else ids for ids in found]
         self.update(zip(short, found, strict=True))
         self.held += sum(map(len, short)) + sum(map(len, found)) + self.ENTRY_BYTES * len(short)
         if not long:
