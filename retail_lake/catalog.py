@@ -21,6 +21,7 @@ from retail_lake.operators import (
     retrieval,
     routing,
     silver,
+    substring_index,
     text_index,
 )
 from retail_lake.plans import context, medallion, training
@@ -726,17 +727,23 @@ def _rated_library(spark, d):
     return _library(spark, d).join(labels, "doc_id", "left")
 
 
+def _searches(spark):
+    """The fixed requests as rows."""
+    return spark.createDataFrame([(q.query_id, q.text, q.category) for q in SEARCHES], "query_id string, text string, category string")
+
+
 @query
 def keyword_search(spark, d):
-    return retrieval.keyword_search(_rated_library(spark, d), SEARCHES, ["doc_id"], k=10)
+    """The fixed requests against a stored index of pieces of the documents."""
+    index = substring_index.write_substring_index(_rated_library(spark, d), ["doc_id"])
+    return substring_index.substring_search(spark, index, _searches(spark), k=10)
 
 
 @query
 def bm25_search(spark, d):
     """The fixed requests against a stored index of the documents."""
     index = text_index.write_text_index(_library(spark, d), ["doc_id"])
-    asked = spark.createDataFrame([(q.query_id, q.text, q.category) for q in SEARCHES], "query_id string, text string, category string")
-    return text_index.ranked_search(spark, index, asked, k=10)
+    return text_index.ranked_search(spark, index, _searches(spark), k=10)
 
 
 @query
@@ -787,9 +794,10 @@ def vector_report(spark, d):
 def context_assembly(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
     chunks = retrieval.chunk_documents(docs).withColumns({"title": F.lit(""), "prior": F.lit(0.0)})
-    found = retrieval.keyword_search(
-        chunks, SEARCHES, ["doc_id", "chunk_id"], k=4, content="chunk_text", category="lang", prior="prior", carried=["source", "chunk_text"]
+    index = substring_index.write_substring_index(
+        chunks, ["doc_id", "chunk_id"], content="chunk_text", category="lang", prior="prior", carried=["source", "chunk_text"]
     )
+    found = substring_index.substring_search(spark, index, _searches(spark), k=4)
     return retrieval.assemble_context(found)
 
 
