@@ -161,6 +161,19 @@ def upload_reports(spark, d):
     return finding.groupBy(parts[0].alias("finding")).agg(F.sum(parts[1].cast("long")).alias("rows"))
 
 
+@query
+def scan_quoted_breaks(spark, d):
+    """Texts with line breaks and quotes, landed as CSV in two header orders and read back by record."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.replace("text", F.lit("e "), F.lit('e", "')).alias("text"))
+    root = work_path(spark, "quoted")
+    csv_files.write_csv(docs, f"{root}/a", quote_all=True)
+    csv_files.write_csv(docs.select("text", "doc_id", "source"), f"{root}/b", quote_all=True)
+    rows = csv_files.read_raw(spark, f"{root}/*", multi_line=True)
+    return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "source", F.length("text").alias("characters"), F.md5("text").alias("digest")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(CORRUPT_COLUMN).alias("corrupt")
+    )
+
+
 @query
 def bronze_copy(spark, d):
     landed = csv_files.copy_to_bronze(spark, _raw_csv(spark, d), work_path(spark, "bronze"))
@@ -405,6 +418,22 @@ def gold_monthly_summary(spark, d):
     return gold.monthly_summary(_silver(spark, d))
 
 
+@query
+def customer_sketches(spark, d):
+    """Customers per quarter and category from the stored monthly sketches, beside the exact counts of silver.
+
+    ``close`` tells whether the estimate is within 3 % (or one customer) of the exact count.
+    """
+    stored = stage(_silver(spark, d))
+    months = stage(gold.customer_sketches(stored))
+    keys = ["year", "quarter", "product_category"]
+    estimated = gold.customers_over(months, keys)
+    exact = stored.groupBy(*keys).agg(F.count_distinct("customer_id").alias("customers"))
+    allowed = F.greatest(F.col("customers") * 0.03, F.lit(1.0))
+    close = F.abs(F.col("estimated_customers") - F.col("customers")) <= allowed
+    return exact.join(estimated, keys, "left").select(*keys, "customers", F.coalesce(close, F.lit(False)).alias("close"))
+
+
 @query
 def gold_customer_segments(spark, d):
     return gold.customer_segments(_silver(spark, d))

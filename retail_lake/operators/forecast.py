@@ -11,6 +11,7 @@ from retail_lake.functions.dates import feature_calendar
 from retail_lake.operators import anomaly
 from retail_lake.operators.features import with_encodings
 from retail_lake.schema import CATEGORIES, FORECAST_FEATURES
+from retail_lake.staging import stage
 
 TEST_WEEKS = 4
 MAX_DAYS = 14
@@ -33,6 +34,8 @@ BOOSTING = {
     "minInstancesPerNode": 2,
     "seed": 42,
 }
+#: Trees without gain after which no better prefix is looked for.
+PATIENCE = 30
 LAGS = ["lag_1", "lag_7", "lag_14"]
 ROLLING = ["rolling_mean_7", "rolling_mean_14", "rolling_std_7", "rolling_std_14", "rolling_max_7", "rolling_min_7"]
 SAME_DAY = ["avg_age", "female_ratio", "transaction_count", "avg_price"]
@@ -81,6 +84,39 @@ def fit(
     return Pipeline(stages=[assemble, trees]).fit(rows)
 
 
+def best_prefix(losses: list[float], patience: int = PATIENCE) -> int:
+    """How many trees to keep: up to the least loss that ``patience`` further trees did not undercut."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def fit_prefix(
+    split: DataFrame, columns: list[str] = FORECAST_FEATURES, stop_on: str = "tune", patience: int = PATIENCE, **settings
+) -> tuple[PipelineModel, list[float]]:
+    """Boosted trees on the train rows, kept up to the best number of trees for the rows of ``stop_on``.
+
+    All trees are grown, the mean squared error of every prefix is taken on the ``stop_on`` rows in
+    one pass, and the ensemble is grown again with as many trees as ``best_prefix`` says; the same
+    seed and the same stored rows give the same first trees.  Returns the model and the errors by
+    number of trees.  Without ``stop_on`` rows all trees stay.
+    """
+    rows = stage(split.where(F.col("split").isin("train", stop_on)))
+    train = rows.where("split = 'train'")
+    full = fit(train, columns, None, **settings)
+    tuning = rows.where(F.col("split") == stop_on)
+    if tuning.isEmpty():
+        return full, []
+    filled = tuning.na.fill({c: v for c, v in DEFAULTS.items() if c in columns})
+    losses = full.stages[-1].evaluateEachIteration(full.stages[0].transform(filled), "squared")
+    kept = best_prefix(losses, patience)
+    return (full if kept == len(losses) else fit(train, columns, None, **{**settings, "maxIter": kept})), losses
+
+
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     inputs = model.stages[0].getInputCols()
     return model.transform(df.na.fill({c: v for c, v in DEFAULTS.items() if c in inputs})).drop("features")

@@ -476,6 +476,10 @@ FROM typed GROUP BY GROUPING SETS ((), (product_category))""",
        {r('daily_revenue')}, daily_quantity, transaction_count, {r('avg_price', 'avg_customer_age', 'female_ratio')} FROM gold_daily""",
         "gold_monthly_summary": f"""WITH {SILVER}, {GOLD_MONTHLY} SELECT year, month, product_category, {r('monthly_revenue')}, monthly_quantity,
        monthly_transactions, {r('avg_transaction_value')}, unique_customers, year_month FROM monthly""",
+        "customer_sketches": f"""WITH {SILVER} SELECT year, quarter, product_category, count(DISTINCT customer_id) AS customers, true AS close
+FROM silver GROUP BY ALL""",
+        "scan_quoted_breaks": """SELECT doc_id, source, length(t) AS characters, md5(t) AS digest, 2 AS rows, 0 AS corrupt
+FROM (SELECT doc_id, source, nullif(replace(text, 'e ', 'e", "'), '') AS t FROM documents)""",
         "gold_customer_segments": f"""WITH {SILVER}, {GOLD_SEGMENTS} SELECT product_category, gender, age_group, transaction_count,
        {r('total_revenue', 'avg_spend', 'avg_quantity')} FROM segments""",
         "gold_enriched": f"""WITH {flagged()} SELECT {day('date')}, product_category, {r('daily_revenue')}, daily_quantity,

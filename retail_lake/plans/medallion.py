@@ -27,9 +27,14 @@ def bronze_to_silver(
 
 
 def silver_to_gold(
-    spark: SparkSession, transactions: DataFrame, database: str, anomalies: DataFrame | None = None, fmt: str = "parquet"
+    spark: SparkSession,
+    transactions: DataFrame,
+    database: str,
+    anomalies: DataFrame | None = None,
+    fmt: str = "parquet",
+    sketches: bool = False,
 ) -> dict[str, DataFrame]:
-    """Store the gold tables; every one reads the stored silver table."""
+    """Store the gold tables; every one reads the stored silver table.  ``sketches`` adds those of the customers."""
     frames = {
         "daily_revenue": gold.daily_revenue(transactions).orderBy("date", "product_category"),
         "monthly_summary": gold.monthly_summary(transactions).orderBy("year", "month", "product_category"),
@@ -37,6 +42,8 @@ def silver_to_gold(
     }
     if anomalies is not None:
         frames["anomaly_records"] = gold.anomaly_records(anomalies)
+    if sketches:
+        frames["customer_sketches"] = gold.customer_sketches(transactions)
     return {name: overwrite_table(df, f"{database}.{name}", fmt) for name, df in frames.items()}
 
 

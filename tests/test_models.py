@@ -203,3 +203,23 @@ def test_report_on_scored_rows(trained):
 def test_bad_features_stop_training(spark):
     with pytest.raises(ValueError, match="rows"):
         training.train(transactions(spark, SF_DIR).where("date < '1995-02-20'"), **FEW)
+
+
+def test_rule_of_the_best_prefix():
+    assert forecast.best_prefix([5.0, 4.0, 4.5, 3.0, 3.5], patience=30) == 4
+    assert forecast.best_prefix([5.0, 4.0, 4.5, 4.2, 3.0], patience=2) == 2
+    assert forecast.best_prefix([3.0, 3.0], patience=30) == 1
+
+
+def test_kept_prefix_is_the_best_for_the_tune_rows(trained):
+    split = forecast.time_split(trained.features, tune_weeks=forecast.TEST_WEEKS)
+    settings = {"maxIter": 12, "stepSize": 0.9, "maxDepth": 6}  # overfits soon
+    model, losses = forecast.fit_prefix(split, **settings)
+    kept = model.stages[-1].getNumTrees
+    assert len(losses) == 12 and kept == forecast.best_prefix(losses) < 12
+    tune = split.where("split = 'tune'")
+    error = lambda m: forecast.predict(tune, m).agg(F.avg((F.col("prediction") - F.col("daily_revenue")) ** 2)).first()[0]
+    assert error(model) == pytest.approx(min(losses), rel=1e-9)
+    assert error(model) <= error(forecast.fit(split, stop_on=None, **settings))
+    whole, none = forecast.fit_prefix(split.where("split <> 'tune'"), **settings)
+    assert whole.stages[-1].getNumTrees == 12 and none == []

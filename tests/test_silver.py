@@ -9,6 +9,7 @@ from retail_lake.functions.encode import age_band, category_code, risk_band, sta
 from retail_lake.functions.encode import whole_number
 from retail_lake.operators import gold, quality, silver
 from retail_lake.schema import RAW_COLUMNS, RAW_SCHEMA, clean_header, normalise_headers
+from retail_lake.staging import stage
 
 GOOD = [
     ("T001", "2023-06-15", "C001", "Female", "28", "Beauty", "2", "50", "100"),
@@ -117,3 +118,22 @@ def test_whole_numbers(spark):
     got = [r.n for r in rows.select("k", whole_number(F.col("t")).alias("n")).orderBy("k").collect()]
     assert got == [2, 2, 2, 2, -3, 2, 15, 2, *[None] * 11]
     assert [r[0] for r in spark.sql("SELECT 2.0D AS d UNION ALL SELECT 2.5D").select(whole_number(F.col("d"))).collect()] == [2, None]
+
+
+def test_customer_sketches_merge_over_any_months(spark):
+    """Customers come back in other months and categories; 2 % is 2.5 standard errors."""
+    rows = spark.range(200_000).select(
+        F.lit(2024).alias("year"),
+        (F.col("id") % 12 + 1).alias("month"),
+        F.floor(F.col("id") % 12 / 3 + 1).alias("quarter"),
+        F.when(F.col("id") % 5 < 2, "Beauty").otherwise("Clothing").alias("product_category"),
+        F.when(F.col("id") % 97 != 0, F.pmod(F.xxhash64("id"), F.lit(60_000)).cast("string")).alias("customer_id"),
+    )
+    stored = stage(gold.customer_sketches(rows))
+    assert stored.count() == 24
+    for keys in ([], ["year"], ["quarter"], ["quarter", "product_category"], ["month"]):
+        exact = {tuple(r)[:-1]: r[-1] for r in rows.groupBy(*keys).agg(F.count_distinct("customer_id")).collect()}
+        told = {tuple(r)[:-1]: r[-1] for r in gold.customers_over(stored, keys).collect()}
+        assert set(told) == set(exact)
+        assert all(abs(told[k] - exact[k]) <= 0.02 * exact[k] for k in exact)
+    assert gold.customers_over(stored.limit(0), ["year"]).count() == 0

@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +240,42 @@ def test_failed_overwrite_leaves_the_old_table(spark, tmp_path):
     new = tables.overwrite_table(spark.range(3).select(F.col("id").cast("string").alias("name")), "t_swap.t")
     assert new.columns == ["name"] and new.count() == 3 and reader.count() == 5
     spark.sql("DROP DATABASE t_swap CASCADE")
+
+
+def small_blocks(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.mark.parametrize(("size", "sent"), [("150b", 200_000), ("250b", 0), ("1m", 200_000)])
+def test_quoted_line_breaks_in_files_of_many_blocks(spark, tmp_path, monkeypatch, size, sent):
+    """Every value comes back, whatever block of whatever size its record begins and ends in."""
+    monkeypatch.setattr(csv_files, "BLOCKS_SENT", sent)
+    rng = random.Random(7)
+    wanted = []
+    for name, order in (("a", ["x", "y", "z"]), ("b", ["z", "x", "y"])):
+        with (tmp_path / f"{name}.csv").open("w", newline="") as f:
+            out = csv.writer(f, lineterminator="\n" if name == "a" else "\r\n")
+            out.writerow(order)
+            for k in range(40):
+                row = {"x": f"{name}{k}", "y": "".join(rng.choices(['"', "\n", ",", "é", "word", " ", "\r\n"], k=rng.randint(0, 12))), "z": rng.choice(["", "1\n\n2", "long\n" * 150])}
+                out.writerow([row[c] for c in order])
+                wanted.append(tuple(row[c] or None for c in "xyz"))
+    small_blocks(spark, size)
+    try:
+        rows = csv_files.read_raw(spark, str(tmp_path), multi_line=True).select("x", "y", "z", "_corrupt").collect()
+    finally:
+        small_blocks(spark, "128m")
+    assert [r._corrupt for r in rows if r._corrupt is not None] == []
+    assert sorted((r.x, r.y, r.z) for r in rows) == sorted(wanted)
+
+
+def test_quotes_out_of_place_lose_nothing(spark, tmp_path):
+    (tmp_path / "bom.csv").write_text("\N{ZERO WIDTH NO-BREAK SPACE}" '"x","y"\n1,5" pipe\n"a"b,2\n3,4\n\n5,"six\n', encoding="utf-8")
+    (tmp_path / "open.csv").write_text('y,x\n"never\nclosed,1\n2,3')
+    path = put(tmp_path, "head.csv", '"x","y', 'z"', "1,2")
+    rows = csv_files.read_raw(spark, path, multi_line=True).collect()
+    assert {(r.x, r.y) for r in rows if r._corrupt is None and r.x == "3"} == {("3", "4")}
+    assert {(r.x, r["y\nz"]) for r in rows if r["y\nz"]} == {("1", "2")}
+    assert {(r.x, r.y) for r in rows if r.y and "pipe" in r.y} == {("1", '5" pipe')}
+    assert {r._corrupt for r in rows if r._corrupt is not None} == {'"a"b,2', '5,"six', '"never\nclosed,1\n2,3'}
