@@ -117,16 +117,17 @@ def chat_windows(
     an earlier window has as well), ``text`` and ``mask``, spans of ``text`` in characters that
     the loss covers.  Rows are ordered by turn, then role and text, null turns first; repeated
     rows are turns of their own.  Null roles and texts are empty, null conv_ids make one
-    conversation.  The first turn is the system turn if its role is ``system``.  A turn longer
-    than the budget stays whole.  Other columns are not read.
+    conversation.  The first turn is the system turn if its role is ``system``.  A window holds
+    more tokens than the budget only where the system turn and one other turn do; turns stay whole.  Other columns are not read.
     """
     placed = written(_placed(_counted(conversations, path)), "placed")
     system = placed.where((F.col("nth") == 0) & (F.col("role") == SYSTEM)).select(
         F.col("conv").alias("c"), F.col("n").alias("system_n"), F.col("text").alias("system_text")
     )
-    # what is left for new turns beside the system turn and the history
-    room = F.greatest(F.lit(budget // 4), F.lit(budget - history) - F.coalesce("system_n", F.lit(0)))
-    turns = placed.join(system.drop("system_text"), F.col("conv") == F.col("c"), "left").withColumn("room", room)
+    # what is left for new turns beside the system turn and the history, which gives way to a long system turn
+    left = F.lit(budget) - F.coalesce("system_n", F.lit(0))
+    room = F.greatest(F.lit(1), left - F.least(F.lit(history), F.floor(left / 4)))
+    turns = placed.join(system.drop("system_text"), F.col("conv") == F.col("c"), "left").withColumns({"left": left, "room": room})
     # the system turn stands before all stretches
     at = F.col("at") - F.coalesce("system_n", F.lit(0))
     turns = turns.withColumns({"at": at, "is_system": (F.col("nth") == 0) & F.col("system_n").isNotNull()})
@@ -135,14 +136,16 @@ def chat_windows(
     turns = written(turns.drop("c", "nth"), "in_windows")
     body = turns.where(~F.col("is_system"))
     # windows by conversation and stretch, for the turns of up to `history` tokens before them
-    windows = body.groupBy("conv", "window").agg(F.min("at").alias("start"), F.min("room").alias("own_room"))
-    stretches = windows.select(F.col("conv").alias("w_conv"), F.col("window").alias("w"), "start", F.floor(F.col("start") / F.col("own_room")).alias("stretch"))
+    windows = body.groupBy("conv", "window").agg(
+        F.min("at").alias("start"), F.min("room").alias("own_room"), (F.min("left") - F.sum("n")).alias("unused")
+    )
+    stretches = windows.select(F.col("conv").alias("w_conv"), F.col("window").alias("w"), "start", "unused", F.floor(F.col("start") / F.col("own_room")).alias("stretch"))
     reach = body.withColumn(
         "stretch", F.explode(F.sequence(F.floor(F.col("at") / F.col("room")), F.floor((F.col("at") + history) / F.col("room"))))
     )
     repeated = (
         reach.join(stretches, (F.col("conv") == F.col("w_conv")) & (reach["stretch"] == stretches["stretch"]))
-        .where((F.col("w") > F.col("window")) & (F.col("at") >= F.col("start") - history))
+        .where((F.col("w") > F.col("window")) & (F.col("at") >= F.col("start") - F.least(F.lit(history), "unused")))
         .select("conv", "conv_id", F.col("w").alias("window"), "at", "role", "text", F.lit(True).alias("again"))
     )
     heads = turns.where("is_system").select("conv", "conv_id", "text")

@@ -222,6 +222,26 @@ def test_chat_round_trip(spark):
     assert all(list(chat.parse(chat.format_turn(r, t)[0])) == [(r, t)] for r in ("a:b", "\\", "###") for t in marks if t is not None)
 
 
+@pytest.mark.parametrize("system", [0, 40, 350, 395, 600])
+def test_windows_keep_to_the_budget(spark, system):
+    """Also beside a long system turn, and with turns of any size up to more than the budget."""
+    rng = random.Random(system)
+    turns = [(1, 0, "system", "a " * system)] if system else []
+    turns += [(1, k, ("user", "assistant")[k % 2], "a " * rng.choice([1, 9, 30, 60, 150, 330, 450])) for k in range(1, 120)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    windows = chat_windows(frame, budget=400, history=100).collect()
+    pieces = tokens.Pieces(tokens.load(tokens.BYTE_BPE), tokens.blank_pieces)
+    size = lambda own: sum(pieces.counts([chat.format_turn(*t)[0] for t in own]))
+    repeated = 0
+    for w in windows:
+        own = list(chat.parse(w.text))
+        fewest = [t for k, t in enumerate(own) if k >= w.n_repeated or (k == 0 and system)]
+        assert size(own) <= 400 or len(own) <= 1 + bool(system) and size(fewest) > 400
+        repeated += w.n_repeated
+    assert len(windows) > 20 and (repeated > 20 or system > 390)
+    assert sum(len(list(chat.parse(w.text))) - w.n_repeated for w in windows) == len(turns)
+
+
 def test_language(spark, docs, empty):
     words = {"aa": "the and of wish thing", "bb": "der und von schon dinge", "cc": "это слово другой речи"}
     rows = [(k, " ".join(random.Random(k).choices(words[lang].split(), k=30)), lang) for k in range(90) for lang in [list(words)[k % 3]]]
