@@ -190,6 +190,31 @@ def test_many_small_batches_lose_nothing(spark, tmp_path):
     assert ingest.accepted(spark, target).count() == 5
 
 
+def test_upload_sent_twice_is_taken_once(spark, tmp_path):
+    source, target, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "p")
+    put(source, "a.csv", HEADER, ROW1, ROW1)
+    put(source, "a_copy.csv", HEADER, ROW1, ROW1)  # in the same batch
+    put(source, "once.csv", HEADER, ROW1)  # other content: rows repeated in a file are the file's own matter
+    ingest.ingest_stream(spark, str(source), target, progress).awaitTermination()
+    put(source, "again.csv", HEADER, ROW1, ROW1)  # in a later batch
+    put(source, "b.csv", HEADER, ROW2)
+    ingest.ingest_stream(spark, str(source), target, progress).awaitTermination()
+    put(source, "b2.csv", HEADER, ROW2)
+    ingest.ingest_stream(spark, str(source), target, progress).awaitTermination()
+    told = {r.file_name: (r.taken, r.batch_id) for r in ingest.uploads(spark, target).collect()}
+    assert told == {
+        "a.csv": (True, 0), "a_copy.csv": (False, 0), "once.csv": (True, 0), "again.csv": (False, 1), "b.csv": (True, 1), "b2.csv": (False, 2)
+    }
+    assert sorted(r.transaction_id for r in ingest.accepted(spark, target).collect()) == ["T001", "T001", "T001", "T002"]
+
+
+def test_a_batch_run_again_takes_its_files_again(spark):
+    digests = spark.createDataFrame([("p1", "f1", "x"), ("p2", "f2", "x"), ("p3", "f3", "y")], "file_path string, file_name string, digest string")
+    seen = spark.createDataFrame([("p0", "f0", "y", True)], ingest.UPLOADS)
+    taken = lambda s: sorted(r.file_path for r in ingest.judge_uploads(digests, s).where("taken").collect())
+    assert taken(seen) == ["p1"] and taken(seen.limit(0)) == ["p1", "p3"]
+
+
 def test_staged_rows_are_kept(spark):
     df = staging.stage(spark.range(10).withColumn("r", F.rand()))
     assert df.collect() == df.collect()
