@@ -68,3 +68,23 @@ def test_stored_hash_tables_find_the_nearest(spark):
     assert shares[8] >= 0.95 and shares[1] < 0.8
     stored = spark.read.parquet(f"{index.path}/hashed")
     assert stored.count() == 720 and "hashes" in stored.columns
+
+
+@pytest.mark.parametrize("length", [2.0, 0.3])
+def test_index_equals_joining_on_hashes_and_moves_each_vector_once(spark, length):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 6))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(5)
+    asked = vectors.where("id % 10 = 0").select(F.col("id").alias("q"), "v")
+    index = nearest.write_vector_index(vectors, "id", "v", bucket_length=length, tables=3)
+    found = nearest.index_top_k(spark, index, asked, "q", "v", k=4, least_similarity=0.2, block_bytes=800)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    hashes = {r.id: r.hashes for r in spark.read.parquet(f"{index.path}/hashed").collect()}
+    x = x.astype(np.float32).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    wanted = []
+    for q in range(0, 300, 10):
+        near = [(-round(float(unit[q] @ unit[i]), 9), i) for i in range(300) if any(a == b for a, b in zip(hashes[q], hashes[i]))]
+        wanted += [(q, i, n + 1) for n, (s, i) in enumerate(sorted(near)[:4]) if -s >= 0.2]
+    assert sorted((r.q, r.id, r["rank"]) for r in found.collect()) == sorted(wanted)
+    assert "posexplode(hashes" not in plan and "datasetA" not in plan
