@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from retail_lake.llm import language
 from retail_lake.llm.common import written
 from retail_lake.llm.decontaminate import without_benchmark
-from retail_lake.llm.mixing import mixed_documents
+from retail_lake.llm.mixing import mixed_blocks
 from retail_lake.llm.ngram_join import component_rows, text_hash
 from retail_lake.llm.token_output import token_index, write_token_ids
 from retail_lake.staging import work_path
@@ -50,8 +50,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it; texts without words go, a null source is the last one."""
-    return mixed_documents(docs)
+    """The blocks that the mix of sources puts into its slots, a row for each document in each; texts without words go, a null source is the last one."""
+    return mixed_blocks(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,8 +88,8 @@ def order_hash():
     return F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def sized(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """``doc_id, _source, _size`` (words), ``_order`` and ``_part``, one of ``spread`` parts of a source."""
+def sized(docs: DataFrame, spread: int = SPREAD, more: tuple = ()) -> DataFrame:
+    """``doc_id, _source, _size`` (words), ``_order``, ``_part``, one of ``spread`` parts of a source, and ``more`` columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -97,6 +97,7 @@ def sized(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"),
         order_hash().alias("_order"),
         F.pmod(order_hash(), F.lit(spread)).alias("_part"),
+        *more,
     )
 
 
@@ -167,18 +168,10 @@ def slots(spark, sources: list[Source], shards: int = OUTPUT_SHARDS, seed: int =
     )
 
 
-def mix(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The documents with what the mix takes of each, and the mix itself.
-
-    First: a row per row of ``docs`` with ``doc_id``, ``_order`` (hash of doc_id and text),
-    ``_size``, ``_source_size``, ``_target`` (its source's) and ``_taken`` (words, repeats counted).  Second, written: ``shard, place, source_number,
-    block, doc_id, _begin, from_word, to_word``, the words that make up each slot; ``_taken`` is summed from it.
-
-    Sizes are counted in words of the whole text; null and empty texts have none and are never
-    taken.  Null is a source of its own and the last.  A source without words has target 0.
-    """
+def _drawn(docs: DataFrame, block: int, shards: int, seed: int, more: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """The documents with their places (``source_number, _begin``) and plans, and the mix, written (see ``mix``)."""
     spark = docs.sparkSession
-    staged = written(sized(docs), "sizes")
+    staged = written(sized(docs, more=more), "sizes")
     sources = plan(staged, block)
     named = spark.createDataFrame(
         [(s.number, s.name, s.size, s.target) for s in sources],
@@ -201,6 +194,20 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS,
         ),
         "mix",
     )
+    return placed, output
+
+
+def mix(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The documents with what the mix takes of each, and the mix itself.
+
+    First: a row per row of ``docs`` with ``doc_id``, ``_order`` (hash of doc_id and text),
+    ``_size``, ``_source_size``, ``_target`` (its source's) and ``_taken`` (words, repeats counted).  Second, written: ``shard, place, source_number,
+    block, doc_id, _begin, from_word, to_word``, the words that make up each slot; ``_taken`` is summed from it.
+
+    Sizes are counted in words of the whole text; null and empty texts have none and are never
+    taken.  Null is a source of its own and the last.  A source without words has target 0.
+    """
+    placed, output = _drawn(docs, block, shards, seed)
     taken = output.groupBy("source_number", "_begin").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"))
     # a document with words is the only one that begins where it does; one without takes nothing
     result = placed.join(taken, ["source_number", "_begin"], "left").withColumn(
@@ -209,6 +216,51 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS,
     return result, output
 
 
+def _pieces(text, begin, size, block: int):
+    """``block, piece`` of each block that a text reaches into: its words there with the white space before them."""
+    words = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+
+    def piece(words, b):
+        low = F.greatest(begin, b * block) - begin
+        high = F.least(begin + size, (b + 1) * block) - begin
+        # white space behind the last word stays with it
+        count = F.when(high == size, F.size(words) - low).otherwise(high - low)
+        return F.struct(b.alias("block"), F.array_join(F.slice(words, (low + 1).cast("int"), count.cast("int")), "").alias("piece"))
+
+    blocks = F.sequence(F.floor(begin / block), F.floor((begin + size - 1) / block))
+    # the outer function has the text split once, not for every block
+    return F.get(F.transform(F.array(words), lambda w: F.transform(blocks, lambda b: piece(w, b))), F.lit(0))
+
+
+def mixed_blocks(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
+    """The mix with its texts: a row for each document in each slot.
+
+    Columns are those of ``docs``, whose ``text`` is now the part of the document that the slot's
+    block holds, and ``shard, place, from_word`` (with ``_`` behind them where ``docs`` has such a
+    column): the slot and where in its document the part begins.  Parts of a document joined in the order of ``from_word`` are its whole text, white space included.
+    Every row of ``docs`` is a document of its own; those without words are never taken.
+    """
+
+    def free(name: str) -> str:
+        while name in docs.columns:
+            name += "_"
+        return name
+
+    row = free("_row")
+    # numbered once, as the texts are joined to the places of their rows
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    placed, output = _drawn(numbered, block, shards, seed, (row,))
+    # the texts stand in a column of their own names, so that no name clashes
+    whole = numbered.select(F.col(row).alias("_n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_kept"), F.col("text").cast("string").alias("_text"))
+    spans = placed.where("_size > 0").select(F.col(row).alias("_m"), "source_number", "_begin", "_size")
+    joined = whole.join(spans, F.col("_n") == F.col("_m"))
+    cut = F.inline(_pieces(F.col("_text"), F.col("_begin"), F.col("_size"), block))
+    parts = joined.select("_kept", "source_number", "_begin", cut)
+    found = output.select("shard", "place", "source_number", "block", "_begin", "from_word").join(parts, ["source_number", "block", "_begin"])
+    columns = [F.col("piece").alias("text") if c == "text" else F.col(f"_kept.`{c}`").alias(c) for c in docs.columns]
+    return found.select(*columns, *[F.col(c).alias(free(c)) for c in ("shard", "place", "from_word")])
+
+
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, repeats: float = REPEATS) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix of whole documents takes it.
 
