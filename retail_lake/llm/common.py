@@ -20,7 +20,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 #: Bytes of rows handed to Python at once; rows may hold whole groups.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -45,13 +45,13 @@ from retail_lake.llm.graph import components
 FLUSH_TOKENS = 1 << 20
 FLUSH_DOCS = 60_000
 #: Tokens that one range of hashes holds on average, and the least number of ranges.
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 1_000_000
 RANGES = 64
 GROUP_DOCS = 64
 GROUP_LEAST = 16
 GROUP_TOKENS = 1 << 17
 #: Cells of the 0/1 matrices that are multiplied at once.
-DENSE_CELLS = 1 << 24
+DENSE_CELLS = 1 << 22
 
 SETS = "doc_id long, n_shingles long, key long"
 #: A row of tokens: whose they are (places in the flush and counts), their low and middle bits, and how many
