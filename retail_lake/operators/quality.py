@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retail_lake.functions.dates import iso_date
 from retail_lake.functions.encode import money_mean, whole_number
 from retail_lake.schema import CATEGORIES, CORRUPT_COLUMN, FORECAST_FEATURES, INTEGER_COLUMNS, NUMERIC_COLUMNS, RAW_COLUMNS, missing_columns
 from retail_lake.sources.csv_files import bind, headers, lines
@@ -63,7 +64,7 @@ def validation_report(raw: DataFrame) -> DataFrame:
             [("error", "missing column", c, None) for c in lacking],
             "severity string, check_name string, column_name string, n long",
         )
-    bad_date = _q("Date").isNotNull() & F.try_to_date(_q("Date").cast("string"), "yyyy-MM-dd").isNull()
+    bad_date = _q("Date").isNotNull() & iso_date(_q("Date")).isNull()
     checks = [("error", "unparsable date", "Date", bad_date)]
     checks += [("warning", "non-numeric", c, not_numeric(c)) for c in NUMERIC_COLUMNS]
     checks += [("warning", "unknown category", "Product Category", is_unknown("Product Category"))]
@@ -93,12 +94,12 @@ def upload_reports(spark: SparkSession, path: str) -> DataFrame:
     known = headers(found)
     heads = known.select("file_path", absent.alias("absent"))
     fits = F.col(CORRUPT_COLUMN).isNull()
-    bad_date = _q("Date").isNotNull() & F.try_to_date(_q("Date"), "yyyy-MM-dd").isNull()
+    bad_date = _q("Date").isNotNull() & iso_date(_q("Date")).isNull()
     errors = [("malformed row", ~fits), ("unparsable date", fits & bad_date)]
     warnings = [(f"non-numeric in {c}", fits & _q(c).isNotNull() & not_numeric(c)) for c in NUMERIC_COLUMNS]
     warnings += [("unknown category", fits & _q("Product Category").isNotNull() & is_unknown("Product Category"))]
     warnings += [(f"null in {c}", fits & _q(c).isNull()) for c in RAW_COLUMNS]
-    date = F.try_to_date(_q("Date"), "yyyy-MM-dd")
+    date = iso_date(_q("Date"))
     counted = bind(found, known, RAW_COLUMNS).groupBy("file_path").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min(date).alias("first_date"),

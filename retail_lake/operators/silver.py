@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retail_lake.functions.dates import silver_calendar
+from retail_lake.functions.dates import iso_date, silver_calendar
 from retail_lake.functions.encode import category_code, standard_gender, whole_number
 from retail_lake.schema import CORRUPT_COLUMN, MONEY, snake_case
 from retail_lake.sources.csv_files import check_headers
@@ -11,6 +11,8 @@ from retail_lake.sources.csv_files import check_headers
 # Columns a transaction must have, and those that must be above zero.
 CRITICAL = ["date", "total_amount", "product_category", "quantity"]
 POSITIVE = ["total_amount", "quantity", "age"]
+# Columns that filters test and that cost parsing.
+PARSED = ["date", "age", "quantity", "total_amount"]
 
 
 def typed(raw: DataFrame) -> DataFrame:
@@ -25,15 +27,20 @@ def typed(raw: DataFrame) -> DataFrame:
     for name in check_headers(raw).columns:
         short = snake_case(name)
         if short == "date":
-            column = F.try_to_date(F.col(f"`{name}`").cast("string"), "yyyy-MM-dd")
+            column = iso_date(F.col(f"`{name}`"))
         elif types.get(short) == "int":
             column = whole_number(F.col(f"`{name}`"))
         else:
             column = F.col(f"`{name}`").try_cast(types.get(short, "string"))
-        columns.append(column.alias(short))
+        columns.append(column)
     # A generator is a barrier: a filter on a typed column stays above it, so that each value is
-    # parsed once and not again in every filter.
-    return raw.select(F.inline(F.array(F.struct(*columns))))
+    # parsed once and not again in every filter.  Columns that no filter parses stand beside it,
+    # where a report that does not read them leaves them out.
+    names = [snake_case(name) for name in raw.columns]
+    placed = [(n in PARSED, c.alias(f"c{i}")) for i, (n, c) in enumerate(zip(names, columns, strict=True))]
+    behind = F.inline(F.array(F.struct(*[c for is_parsed, c in placed if is_parsed])))
+    beside = [c for is_parsed, c in placed if not is_parsed]
+    return raw.select(*beside, behind).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def drop_reason() -> Column:

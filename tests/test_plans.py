@@ -68,6 +68,12 @@ def test_hot_customer_and_category(spark):
     assert (row.total_records, row.unique_customers, row.categories) == (30_000, 10_001, 2)
 
 
+def test_silver_report_parses_only_what_it_reads(spark):
+    rows = silver.silver(raw_transactions(spark, SF_DIR))
+    text = plan(quality.silver_quality(rows))
+    assert "l_linenumber" not in text and "FLOOR(((l_extendedprice" not in text
+
+
 def test_numbers_are_parsed_once(spark):
     """Filters on typed columns stay above the parsing: one rule evaluation for each of the two whole-number columns."""
     rows = silver.silver(raw_transactions(spark, SF_DIR))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retail_lake.functions.encode import age_band, category_code, risk_band, standard_gender
+from retail_lake.functions.dates import iso_date
 from retail_lake.functions.encode import whole_number
 from retail_lake.operators import gold, quality, silver
 from retail_lake.schema import RAW_COLUMNS, RAW_SCHEMA, clean_header, normalise_headers
@@ -112,6 +113,16 @@ def test_approximate_customers_stay_close(spark, raw):
     assert [r.unique_customers for r in exact] == [r.unique_customers for r in rough]
 
 
+def test_dates_are_read_as_the_formatter_reads_them(spark):
+    texts = ["2024-02-29", "2023-02-29", "2024-13-01", "0000-01-01", "0001-01-01", "9999-12-31", "+10000-01-01", "10000-01-01", "+2024-01-01",
+             "-2024-01-01", "2024-1-1", " 2024-01-01", "2024-01-01 ", "2024-01-01\n", "2024-01-01T00", "2024-01-1T", "31/12/2024", "1582-10-10",
+             "20240101", "2024", "٢٠٢٤-٠١-٠١", "+99999999999-01-01", "9" * 25 + "-01-01", "", "abc", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.where(~iso_date(F.col("t")).eqNullSafe(F.try_to_date("t", "yyyy-MM-dd"))).collect() == []
+    text = rows.select(iso_date(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "as date" in text
+
+
 def test_whole_numbers(spark):
     texts = ["2", " 2.0 ", "2.", "+2", "-3", "2e0", "1.5e1", "20E-1", "2.0000001", "2.0000000000000000001", "1.5", "1e-3", "x", "", None, "3000000000", "1e40", ".0", "--2"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
