@@ -50,7 +50,8 @@ CUT = pa.schema(
 def lines(reader, path: str) -> DataFrame:
     """The lines of the CSV files of a folder, by ``spark.read`` or ``spark.readStream``."""
     return reader.format("text").option("pathGlobFilter", "*.csv").load(path).select(
-        F.regexp_replace("value", "^\ufeff", "").alias("value"),
+        # a byte order mark goes
+        F.when(F.startswith("value", F.lit("\ufeff")), F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value")).alias("value"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block_start"),
@@ -68,6 +69,21 @@ def split_line(line: Column) -> Column:
     return F.when(F.array_join(found, ",") == line, F.transform(found, _unquoted))
 
 
+def _values(line: Column) -> Column:
+    """As ``split_line``, but empty fields may be empty texts.
+
+    Most lines have no quotes at all, or each field in quotes and no others: those are cut at their
+    separators, without matching field by field.
+    """
+    inner = F.substring(line, F.lit(2), F.length(line) - 2)
+    all_quoted = (F.length(line) >= 2) & line.startswith('"') & line.endswith('"')
+    return (
+        F.when(~F.contains(line, F.lit('"')), F.split(line, ",", -1))
+        .when(all_quoted & ~F.contains(F.replace(inner, F.lit('","'), F.lit("")), F.lit('"')), F.split(inner, '","', -1))
+        .otherwise(split_line(line))
+    )
+
+
 def headers(found: DataFrame) -> DataFrame:
     """``file_path, file_name, header, names`` of each file: its first line that is not blank, and its cleaned fields.
 
@@ -98,7 +114,7 @@ def bind(found: DataFrame, heads: DataFrame, columns: list[str]) -> DataFrame:
     known = heads.select(
         "file_path",
         "header",
-        "names",
+        F.size("names").alias("n_names"),
         F.array(*[F.array_position("names", c).cast("int") for c in columns]).alias("places"),
         F.filter(F.array(*map(F.lit, columns)), lambda c: ~F.coalesce(F.array_contains("names", c), F.lit(False))).alias("lacking"),
     )
@@ -106,11 +122,12 @@ def bind(found: DataFrame, heads: DataFrame, columns: list[str]) -> DataFrame:
         found.where(F.trim("value") != "")
         .join(known, "file_path", "left")
         .where(~F.col("value").eqNullSafe(F.col("header")))
-        .withColumn("fields", split_line(F.col("value")))
+        .withColumn("fields", _values(F.col("value")))
     )
-    fits = F.coalesce(F.size("fields") == F.size("names"), F.lit(False))
+    fits = F.coalesce(F.size("fields") == F.col("n_names"), F.lit(False))
     place = lambda i: F.get("places", F.lit(i))
-    values = {c: F.when(fits & (place(i) > 0), F.get("fields", place(i) - 1)) for i, c in enumerate(columns)}
+    field = lambda i: F.get("fields", place(i) - 1)
+    values = {c: F.when(fits & (place(i) > 0) & (field(i) != ""), field(i)) for i, c in enumerate(columns)}
     corrupt = F.when(~fits, F.col("value"))
     if CORRUPT_COLUMN in values:
         corrupt = F.coalesce(corrupt, values.pop(CORRUPT_COLUMN))

@@ -1,4 +1,5 @@
 import csv
+import itertools
 import random
 
 import pytest
@@ -105,6 +106,24 @@ def test_bronze_copy_quotes_everything(spark, tmp_path):
     assert csv_files.read_raw(spark, target).collect() == csv_files.read_raw(spark, path).collect()
 
 
+def test_plain_and_all_quoted_lines_are_not_matched_by_field(spark, tmp_path, monkeypatch):
+    path = put(tmp_path, "a.csv", "x,y,z", "1,,3", '"1","a, b",""', '"","",""')
+    found = csv_files.lines(spark.read, path)
+    heads = csv_files.headers(found)
+    monkeypatch.setattr(csv_files, "FIELD", "(no field)")
+    rows = csv_files.bind(found, heads, ["x", "y", "z"])
+    got = {(r.x, r.y, r.z, r["_corrupt"]) for r in rows.collect()}
+    assert got == {("1", None, "3", None), ("1", "a, b", None, None), (None, None, None, None)}
+
+
+def test_lines_are_cut_as_their_fields_match(spark):
+    """All texts of up to seven characters of a quote, a comma and a letter."""
+    texts = ["".join(t) for n in range(8) for t in itertools.product('",a', repeat=n)]
+    rows = spark.createDataFrame([(t,) for t in texts], "line string")
+    cut = F.transform(csv_files._values(F.col("line")), lambda v: F.nullif(v, F.lit("")))
+    assert rows.where(~cut.eqNullSafe(csv_files.split_line(F.col("line")))).collect() == []
+
+
 def test_quotes_and_commas_survive_a_round_trip(spark, tmp_path):
     df = spark.createDataFrame([('a "b", c', "d")], "x string, y string")
     path = csv_files.write_csv(df, str(tmp_path / "t"))
