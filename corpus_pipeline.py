@@ -54,6 +54,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_blocks(docs)
 
 
+def mixed_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stage of ``source_mix``: all its rows with the columns of documents; the slots of the rows stay in the mix that it writes."""
+    return source_mix(spark, docs, sf_dir).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in Parquet; the index of the files, a row per document row, is the result.  Null texts are empty."""
     return token_index(spark, write_token_ids(docs, work_path(spark, "pipeline_tokens")))
@@ -63,7 +68,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("language_id", language_id),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
-    ("source_mix", source_mix),
+    ("source_mix", mixed_texts),
     ("token_files", token_files),
 ]
 #: The stages use a trained model, SimHash and a tokenizer, which SQL cannot express.
